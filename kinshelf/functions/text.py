@@ -40,16 +40,20 @@ def stop_words(params: ModelParams) -> list[str]:
     return default_stop_words() if params.stop_words is None else list(params.stop_words)
 
 
-def words(cleaned: Column) -> Column:
-    """Tokens of at least two letters, in text order."""
-    return F.filter(F.split(cleaned, r"\s+"), lambda w: F.length(w) >= 2)
+def _pieces(letters: Column) -> Column:
+    return F.split(F.regexp_replace(letters, r"[^a-z]+", " "), " ")
 
 
-def content_words(cleaned: Column, stop: list[str]) -> Column:
+def words(letters: Column) -> Column:
+    """Tokens of at least two letters, in text order; the text has letters only."""
+    return F.filter(_pieces(letters), lambda w: F.length(w) >= 2)
+
+
+def content_words(letters: Column, stop: list[str]) -> Column:
     """Tokens without stop words. ``isin`` becomes a hash-set test."""
     if not stop:
-        return words(cleaned)
-    return F.filter(F.split(cleaned, r"\s+"), lambda w: (F.length(w) >= 2) & ~w.isin(stop))
+        return words(letters)
+    return F.filter(_pieces(letters), lambda w: (F.length(w) >= 2) & ~w.isin(stop))
 
 
 def bigrams(tokens: Column) -> Column:

@@ -4,24 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinshelf.functions.text import clean_text, content_words, stop_words, terms
+from kinshelf.functions.text import content_words, letters_only, stop_words, terms
 from kinshelf.params import BROADCAST_ROWS, ModelParams
 
 
 def document_terms(catalogue: DataFrame, params: ModelParams) -> DataFrame:
     """``(id, terms)``: the bag of unigrams and bigrams of each book."""
-    cleaned = catalogue.select("id", clean_text(
+    letters = catalogue.select("id", letters_only(
         F.col("title"), F.col("description"), F.col("authors"), F.col("categories"),
         params.description_max_length,
-    ).alias("clean"))
-    tokens = cleaned.select("id", content_words(F.col("clean"), stop_words(params)).alias("tokens"))
+    ).alias("letters"))
+    tokens = letters.select("id", content_words(F.col("letters"), stop_words(params)).alias("tokens"))
     return tokens.select("id", terms(F.col("tokens"), params.ngram_max).alias("terms"))
 
 
+def exploded(documents: DataFrame) -> DataFrame:
+    """``(id, term)`` rows.
+
+    The outer form with a null test keeps the optimiser from adding a ``size(terms) > 0``
+    filter below, which would run the whole text preparation a second time.
+    """
+    rows = documents.select("id", F.explode_outer("terms").alias("term"))
+    return rows.where(F.col("term").isNotNull())
+
+
 def term_counts(documents: DataFrame) -> DataFrame:
     """``(id, term, tf)``."""
-    return documents.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(
-        F.count("*").alias("tf"))
+    return exploded(documents).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(documents: DataFrame) -> DataFrame:
@@ -37,8 +46,8 @@ def term_stats(documents: DataFrame) -> DataFrame:
         F.transform("terms", lambda t: tally(t, 1, 0)),
         F.transform(F.array_distinct("terms"), lambda t: tally(t, 0, 1)),
     ).alias("tallies"))
-    return occurrences.select(F.inline("tallies")).groupBy("term").agg(
-        F.sum("docs").alias("df"), F.sum("hits").alias("ctf"))
+    rows = occurrences.select(F.inline_outer("tallies")).where(F.col("term").isNotNull())
+    return rows.groupBy("term").agg(F.sum("docs").alias("df"), F.sum("hits").alias("ctf"))
 
 
 def prune(stats: DataFrame, n_books: Column, params: ModelParams) -> DataFrame:
@@ -71,7 +80,7 @@ def vectors(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFr
     lookup = vocab.select("term", "idx", "idf")
     if max_features <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
-    hits = documents.select("id", F.explode("terms").alias("term")).join(lookup, "term")
+    hits = exploded(documents).join(lookup, "term")
     counts = hits.select("id", "idx", "idf").repartition("id").groupBy("id", "idx", "idf").agg(
         F.count("*").alias("tf"))
     weighted = counts.select("id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
