@@ -2,68 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
 
-BUCKETS = 4096
+from pyspark.sql import DataFrame, Window, functions as F
 
+from kinshelf.session import union_all
 
-def _bucket(value: Column, low: Column, high: Column) -> Column:
-    width = (high - low) / BUCKETS
-    return F.when(width > 0, F.least(F.floor((value - low) / width), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+ACCURACY = 10_000
 
 
 def exact_percentiles(values: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """``(share, percentile)``, linear between neighbours like ``percentile``.
 
-    Values are counted, the counts are summed in a histogram of equal-width buckets and only
-    the buckets that hold a wanted rank are numbered, each in its own window. Two rounds of
-    buckets are used, so one bucket holds a 16-millionth of the value range.
+    A sketch brackets each percentile, a second pass counts the values below and inside the
+    bracket, and only the values inside, under a thousandth of all, are put in order. The
+    sketch decides how much is sorted, never the result: a bracket that misses is widened
+    to the whole range.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
-        F.count("*").alias("n"))
-    facts = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
-    ranks = facts.select(wanted.alias("share"), "lo", "hi", "total").select(
-        "*", (F.col("share") * (F.col("total") - 1)).alias("at"))
-    # Two ranks per share: the neighbours between which the percentile is interpolated.
-    targets = ranks.select("share", "at", "lo", "hi", F.explode(
-        F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
-
-    low, high = facts.select("lo").scalar(), facts.select("hi").scalar()
-    first = counts.select("v", "n", _bucket(F.col("v"), low, high).alias("b1"))
-    width = (high - low) / BUCKETS
-    inner_low = low + F.col("b1") * width
-    both = first.select("v", "n", "b1", _bucket(F.col("v"), inner_low, inner_low + width).alias("b2"))
-
-    by_b1 = _running(both.groupBy("b1").agg(F.sum("n").alias("n")), [], "b1")
-    hit1 = _holding(targets, by_b1, "b1")
-    in_b1 = both.join(F.broadcast(hit1.select("b1").distinct()), "b1", "left_semi")
-    by_b2 = _running(in_b1.groupBy("b1", "b2").agg(F.sum("n").alias("n")), ["b1"], "b2")
-    hit2 = _holding(hit1, by_b2, "b2", ["b1"])
-    in_b2 = in_b1.join(F.broadcast(hit2.select("b1", "b2").distinct()), ["b1", "b2"], "left_semi")
-    by_value = _running(in_b2.select("b1", "b2", "v", "n"), ["b1", "b2"], "v")
-    found = _holding(hit2, by_value, "v", ["b1", "b2"])
-
-    part = F.col("at") - F.floor("at")
-    return found.groupBy("share", "at").agg(F.min("v").alias("below"), F.max("v").alias("above")).select(
-        "share", (F.col("below") + part * (F.col("above") - F.col("below"))).alias("percentile"))
-
-
-def _running(counted: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds ``before``: how many values of the group come earlier."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.select("*", F.coalesce(F.sum("n").over(window), F.lit(0)).alias("before"))
-
-
-def _holding(targets: DataFrame, running: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
-    """Targets (a handful of rows) with the entry their rank falls into; the rank becomes
-    relative to that entry."""
-    keys = keys or []
-    entries = running.select(*keys, name, "n", "before")
-    on = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-    left = F.broadcast(targets)
-    if keys:
-        joined = entries.join(left, keys).where(on)
-    else:
-        joined = entries.join(left, on)
-    return joined.withColumn("rank", F.col("rank") - F.col("before")).drop("n", "before")
+    v = F.col(value).cast("double")
+    rows = values.select(v.alias("v")).where(F.col("v").isNotNull())
+    reach = 3 / ACCURACY
+    probes = [F.lit(p) for s in shares for p in (max(s - reach, 0.0), min(s + reach, 1.0))]
+    total, low, high, marks = rows.agg(
+        F.count("*"), F.min("v"), F.max("v"), F.percentile_approx("v", F.array(*probes), F.lit(ACCURACY))).first()
+    if not total:
+        return rows.select(F.lit(0.0).alias("share"), F.col("v").alias("percentile")).limit(0)
+    brackets = [(marks[2 * i], marks[2 * i + 1]) for i in range(len(shares))]
+    counted = rows.agg(*[c for lo, hi in brackets for c in (
+        F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi))]).first()
+    parts = []
+    for i, share in enumerate(shares):
+        at = share * (total - 1)
+        first, second = math.floor(at), math.ceil(at)
+        (lo, hi), below = brackets[i], counted[2 * i]
+        if not below <= first <= second < counted[2 * i + 1]:
+            lo, hi, below = low, high, 0
+        inside = rows.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("n"))
+        up_to = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
+        ranked = inside.select("v", up_to.alias("up_to"))
+
+        def at_rank(rank: int):
+            return F.min(F.when(F.col("up_to") > rank, F.col("v")))
+
+        a, b = at_rank(first), at_rank(second)
+        parts.append(ranked.agg((a + (b - a) * (at - first)).alias("percentile")).select(
+            F.lit(share).alias("share"), "percentile"))
+    return union_all(parts)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinshelf.functions.titles import same_title, title_form
 from kinshelf.session import in_pass, materialise, pass_count, union_all
 
+SOURCES_PER_PASS = 4_000
+BOOKS_PER_BLOCK = 256
 SCORE_DIGITS = 6  # resolution of single precision; removes the noise of summation order
 
 
@@ -36,38 +42,110 @@ def with_blocked(books: DataFrame, blockers: DataFrame | None, profile: str) ->
     return matched.select("*", F.coalesce(blocked, none).alias("blocked")).drop("works", "_form")
 
 
-def score_pass(postings: DataFrame, blockers: DataFrame | None, books: DataFrame, profile: str) -> DataFrame:
-    """Scores of one pass. The books are partitioned by id once; joining the broadcast
-    source postings and summing per (id, source) then needs no further shuffle."""
-    ready = with_blocked(books, blockers, profile)
-    rows = ready.select("id", "blocked", F.inline_outer("vec")).where(F.col("idx").isNotNull())
-    products = rows.join(F.broadcast(postings), "idx").where(
-        (F.col("source_id") != F.col("id")) & ~F.array_contains("blocked", F.col("source_id")))
-    sums = products.groupBy("id", "source_id").agg(F.sum(F.col("w") * F.col("source_w")).alias("s"))
-    return sums.select("source_id", "id", F.round("s", SCORE_DIGITS).alias("score"))
+def _kernel(postings, keep: int | None, floor: float):
+    """Scoring of Arrow batches of books against one pass of sources.
+
+    ``postings`` is a broadcast ``(source_ids, column, idx, weight)`` of the sources'
+    vectors. With ``keep``, a score below the ``keep`` best this task has already seen for
+    its source is not emitted: it cannot be among the best ``keep`` overall.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source_ids, column, idx, weight = postings.value
+        dense = np.zeros((int(idx.max()) + 2, len(source_ids)))
+        dense[idx, column] = weight
+        best = None if keep is None else np.zeros((keep, len(source_ids)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, BOOKS_PER_BLOCK):
+                part = batch.slice(start, BOOKS_PER_BLOCK)
+                ids = part.column("id").to_numpy()
+                block = np.round(_block_scores(part, dense), SCORE_DIGITS)
+                block[ids[:, None] == source_ids[None, :]] = 0.0
+                _clear_blocked(block, part.column("blocked"), source_ids)
+                bar = np.full(len(source_ids), floor)
+                if best is not None:
+                    bar = np.maximum(bar, best[0])
+                    stacked = np.concatenate([best, block])
+                    best = np.partition(stacked, len(stacked) - keep, axis=0)[len(stacked) - keep:]
+                book, source = np.nonzero((block > 0) & (block >= bar))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(source_ids[source]), pa.array(ids[book]), pa.array(block[book, source])],
+                    names=["source_id", "id", "score"])
+
+    return run
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets, starting at zero, and the values of a list column."""
+    offsets = lists.offsets.to_numpy()
+    return offsets - offsets[0], lists.flatten()
+
+
+def _block_scores(part: pa.RecordBatch, dense: np.ndarray) -> np.ndarray:
+    offsets, values = _flat(part.column("vec"))
+    idx, w = values.field("idx").to_numpy(), values.field("w").to_numpy()
+    idx = np.minimum(idx, len(dense) - 1)  # terms no source has meet the last, empty row
+    block = np.empty((part.num_rows, dense.shape[1]))
+    for row in range(part.num_rows):
+        of_book = slice(offsets[row], offsets[row + 1])
+        block[row] = w[of_book] @ dense[idx[of_book]]
+    return block
+
+
+def _clear_blocked(block: np.ndarray, blocked: pa.Array, source_ids: np.ndarray) -> None:
+    offsets, values = _flat(blocked)
+    values = values.to_numpy()
+    if not len(values):
+        return
+    rows = np.repeat(np.arange(len(block)), np.diff(offsets))
+    at = np.minimum(np.searchsorted(source_ids, values), len(source_ids) - 1)
+    hit = source_ids[at] == values
+    block[rows[hit], at[hit]] = 0.0
+
+
+def _score_pass(postings: DataFrame, blockers: DataFrame | None, books: DataFrame, profile: str,
+                keep: int | None, floor: float) -> DataFrame | None:
+    """Scores of one pass: a map over the books, without a shuffle.
+
+    The postings of a pass are bounded by ``scores``; they are fetched and broadcast.
+    """
+    rows = postings.toArrow()
+    if not rows.num_rows:
+        return None
+    of_source = rows.column("source_id").to_numpy()
+    source_ids, column = np.unique(of_source, return_inverse=True)
+    context = postings.sparkSession.sparkContext
+    shared = context.broadcast((source_ids, column, rows.column("idx").to_numpy(),
+                                rows.column("source_w").to_numpy()))
+    ready = with_blocked(books, blockers, profile).select("id", "vec", "blocked")
+    return ready.mapInArrow(_kernel(shared, keep, floor), "source_id bigint, id bigint, score double")
 
 
 def scores(sources: DataFrame, vectors: DataFrame, profile: str, blockers: DataFrame | None = None,
-           floor: float | None = None, among: DataFrame | None = None) -> DataFrame:
+           floor: float | None = None, among: DataFrame | None = None, keep: int | None = None) -> DataFrame:
     """``(source_id, id, score)`` with positive scores, at least ``floor``.
 
-    ``among`` restricts the scored books; by default all of ``vectors`` are scored.
-
-    The source itself and, with ``blockers``, its duplicates are left out. ``sources`` and
-    ``blockers`` are (written) request-side tables; beyond the broadcast bound they are worked off
-    in several passes over the catalogue, which gives the same rows.
+    The source itself and, with ``blockers``, its duplicates are left out. ``among``
+    restricts the scored books; by default all of ``vectors`` are scored. ``keep`` allows
+    rows outside the best ``keep`` of a source to be left out early; ``top`` still has to
+    pick the best. ``sources`` and ``blockers`` are (written) request-side tables; beyond
+    the broadcast bound they are worked off in several passes over the books, which gives
+    the same rows.
     """
     postings = materialise(source_postings(sources, vectors), "source_postings")
-    sized = postings if blockers is None else postings.select("source_id").unionByName(
-        blockers.select("source_id"))
-    n_passes = pass_count(sized.count())
-    books = (vectors if among is None else among).repartition("id")
+    rows, n_sources = postings.agg(F.count("*"), F.count_distinct("source_id")).first()
+    if blockers is not None:
+        rows = max(rows, blockers.count())
+    n_passes = max(pass_count(rows), pass_count(n_sources, SOURCES_PER_PASS))
+    books = vectors if among is None else among
     parts = []
     for k in range(n_passes):
         part_blockers = None if blockers is None else in_pass(blockers, "source_id", n_passes, k)
-        parts.append(score_pass(in_pass(postings, "source_id", n_passes, k), part_blockers, books, profile))
-    kept = union_all(parts).where(F.col("score") > 0)
-    return kept if floor is None else kept.where(F.col("score") >= floor)
+        parts.append(_score_pass(in_pass(postings, "source_id", n_passes, k), part_blockers, books,
+                                 profile, keep, floor or 0.0))
+    parts = [p for p in parts if p is not None]
+    if not parts:
+        return vectors.select(F.col("id").alias("source_id"), "id", F.lit(0.0).alias("score")).limit(0)
+    return union_all(parts)
 
 
 def best_first():

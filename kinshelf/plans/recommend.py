@@ -75,7 +75,7 @@ def ranked_sources(answered: DataFrame, model: Model, profile: str) -> DataFrame
     most = most or 1
     sources = ok.groupBy("source_id").agg(F.min("threshold").alias("floor"))
     own = materialise(works_of(sources.select("source_id", F.col("source_id").alias("id")), books), "own")
-    found = top(scores(sources, model.vectors, profile, own, floor), most).drop("rank")
+    found = top(scores(sources, model.vectors, profile, own, floor, keep=most), most).drop("rank")
     if floor is not None and floor <= 0.0:
         found = materialise(found, "found")
         zero_sources = sources.where(F.col("floor") <= 0.0).select("source_id")
@@ -123,5 +123,5 @@ def neighbours(source_ids: DataFrame, model: Model, k: int, floor: float) -> Dat
     books = book_keys(model.catalogue)
     sources = source_ids.distinct().select(F.col("id").alias("source_id"))
     own = materialise(works_of(sources.select("source_id", F.col("source_id").alias("id")), books), "own")
-    ranked = top(scores(sources, model.vectors, "production", own, floor), k)
+    ranked = top(scores(sources, model.vectors, "production", own, floor, keep=k), k)
     return ranked.select("source_id", "rank", "id", "score", reason(F.col("score")).alias("reason"))
