@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinshelf.params import RATE_LIMIT_PER_MINUTE, RATE_WINDOW_SECONDS
+from kinshelf.session import runs_on_workers
 
 MICROS = 1_000_000
 WINDOWS_PER_SLICE = 60
@@ -125,3 +126,6 @@ def rate_admission(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
         "client", "chain", "us", "request_id")
     decided = busy.mapInPandas(_walk(limit, window), "request_id bigint, free boolean, admitted boolean")
     return calm.unionByName(decided.select("request_id", "admitted"))
+
+
+runs_on_workers(__name__)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinshelf.functions.titles import same_title, title_form
-from kinshelf.session import in_pass, materialise, pass_count, union_all
+from kinshelf.session import in_pass, materialise, pass_count, runs_on_workers, union_all
 
 SOURCES_PER_PASS = 4_000
 BOOKS_PER_BLOCK = 256
@@ -156,3 +156,6 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` per source, ties by id; most rows are dropped before the shuffle."""
     ranked = scored.select("*", F.row_number().over(best_first()).alias("rank"))
     return ranked.where(F.col("rank") <= k)
+
+
+runs_on_workers(__name__)

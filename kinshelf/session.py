@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinshelf.params import BROADCAST_ROWS
@@ -42,6 +44,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def runs_on_workers(module: str) -> None:
+    """Send the functions of a module to the Python workers by value, so that executors
+    need no installed copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def pass_count(rows: int, bound: int = BROADCAST_ROWS) -> int:
     """Number of hash passes that keep each pass well under ``bound`` rows."""
     return 1 if rows <= bound else math.ceil(2 * rows / bound)

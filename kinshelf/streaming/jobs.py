@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kinshelf.params import RATE_LIMIT_PER_MINUTE, RATE_WINDOW_SECONDS
 from kinshelf.plans.model import Model
 from kinshelf.plans.recommend import recommend
-from kinshelf.session import fresh_path
+from kinshelf.session import fresh_path, runs_on_workers
 
 
 def _windowed(requests: DataFrame, size: str, slide: str | None, delay: str, keys=()):
@@ -102,3 +102,6 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
         "checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+runs_on_workers(__name__)
