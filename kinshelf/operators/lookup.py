@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kinshelf.operators.containment import haystacks_around_needles, needles_in_haystacks
-from kinshelf.params import BROADCAST_ROWS
-from kinshelf.session import materialise, union_all
+from kinshelf.session import materialise, small, union_all
 
 
 def exact_matches(queries: DataFrame, titles: DataFrame) -> DataFrame:
@@ -14,10 +13,7 @@ def exact_matches(queries: DataFrame, titles: DataFrame) -> DataFrame:
 
     Both sides have one row per key, so no key is hot.
     """
-    small = queries.select("key")
-    if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return titles.join(small, F.col("title_key") == F.col("key")).select(
+    return titles.join(small(queries.select("key")), F.col("title_key") == F.col("key")).select(
         "key", F.col("last_id").alias("source_id"))
 
 

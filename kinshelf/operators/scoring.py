@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinshelf.functions.titles import same_title, title_form
-from kinshelf.session import in_pass, materialise, pass_count, runs_on_workers, union_all
+from kinshelf.session import in_pass, materialise, pass_count, runs_on_workers, small, union_all
 
 SOURCES_PER_PASS = 4_000
 BOOKS_PER_BLOCK = 256
@@ -19,7 +19,7 @@ SCORE_DIGITS = 6  # resolution of single precision; removes the noise of summati
 def source_postings(sources: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(source_id, idx, source_w)`` of the source books."""
     wanted = sources.select(F.col("source_id").alias("id")).distinct()
-    return vectors.join(wanted, "id", "left_semi").select(
+    return vectors.join(small(wanted), "id", "left_semi").select(
         F.col("id").alias("source_id"), F.inline("vec")).withColumnRenamed("w", "source_w")
 
 

@@ -12,7 +12,7 @@ from kinshelf.operators.ranking import greedy, works_of, zero_fill
 from kinshelf.operators.scoring import scores, top
 from kinshelf.params import DEFAULT_LIMIT, MAX_LIMIT_SIMPLE, MIN_LIMIT
 from kinshelf.plans.model import Model
-from kinshelf.session import materialise
+from kinshelf.session import materialise, small
 
 
 def book_keys(catalogue: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def recommend(requests: DataFrame, model: Model, profile: str = "production") ->
     picked = answered.where(F.col("status") == "ok").join(ranked, "source_id").where(keep).select(
         "request_id", "rank", "id", "score")
     record = display(model.catalogue, profile).select(*RECORD)
-    detailed = picked.join(record, "id").select(
+    detailed = record.join(small(picked), "id").select(
         "request_id", "rank", *RECORD, shown_score(F.col("score")).alias("similarity_score"),
         reason(F.col("score"), profile).alias("reason"))
     head = answered.select("request_id", "title", "query", "status", "error", "source_id")

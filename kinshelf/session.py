@@ -55,6 +55,13 @@ def pass_count(rows: int, bound: int = BROADCAST_ROWS) -> int:
     return 1 if rows <= bound else math.ceil(2 * rows / bound)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are within the bound, else as it is."""
+    if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(df)
+    return df
+
+
 def in_pass(df: DataFrame, key: str, n_passes: int, k: int) -> DataFrame:
     if n_passes == 1:
         return df
