@@ -1,11 +1,14 @@
 """Physical plans, the entry point, and a sample of queries against their check SQL."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from check_queries import compare, connect
 from conftest import SMALL
 import __spark_entry__ as entry
+from kinshelf.operators import reports
 from kinshelf.plans.registry import QUERIES
+from kinshelf.sources import fixtures
 
 NO_SQL = {"agg_perf_stats_approx", "agg_snapshot_inventory", "fn_config_hash"}
 
@@ -45,3 +48,19 @@ def test_every_query_has_check_sql_or_is_known_not_to():
                                   "str_perf_windows", "str_rate_admission", "src_catalogue_parts"])
 def test_queries_match_their_check_sql(spark, name):
     assert compare(spark, connect(SMALL), SMALL, name)[0].startswith("ok")
+
+
+def test_sketched_report_is_close_to_the_exact_one(spark):
+    requests = fixtures.view(spark, SMALL, "requests")
+    as_of = reports.latest_time(requests)
+    exact = reports.performance(requests, as_of, 43_200).first().asDict()
+    near = reports.performance_approx(requests, as_of, 43_200).first().asDict()
+    assert exact.keys() == near.keys() and exact["requests_count"] > 900
+    for name, value in exact.items():
+        assert near[name] == pytest.approx(value, rel=0.02 if name.startswith("p9") else 1e-12)
+
+
+def test_an_empty_window_reports_zeros(spark):
+    requests = fixtures.view(spark, SMALL, "requests")
+    row = reports.performance(requests, F.lit("2030-01-01").cast("timestamp"), 60).first().asDict()
+    assert row.pop("window_minutes") == 60 and set(row.values()) == {0}
