@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
+from kinshelf.functions.stop_words import ENGLISH
 from kinshelf.params import ModelParams
 
 
@@ -32,12 +32,8 @@ def clean_text(title: Column, description: Column, authors: Column, categories:
     return strip(squeeze(raw))
 
 
-def default_stop_words() -> list[str]:
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def stop_words(params: ModelParams) -> list[str]:
-    return default_stop_words() if params.stop_words is None else list(params.stop_words)
+    return list(ENGLISH) if params.stop_words is None else list(params.stop_words)
 
 
 def _pieces(letters: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinshelf.functions import display as shown
 from kinshelf.functions import screening, text, titles, validation
+from kinshelf.functions.stop_words import ENGLISH
 from kinshelf.operators import admission, lookup, ranking, reports, scoring, search, tfidf
 from kinshelf.params import DEFAULT_THRESHOLD, ModelParams, REQUEST_HISTORY, WHOLE_TEXT
 from kinshelf.plans import recommend as jobs
@@ -521,14 +522,14 @@ def fn_tokenize(spark, folder):
 @query
 def fn_stop_words(spark, folder):
     tokens = _letters(spark, folder).select(
-        "id", text.content_words(F.col("letters"), text.default_stop_words()).alias("t"))
+        "id", text.content_words(F.col("letters"), list(ENGLISH)).alias("t"))
     return tokens.select("id", F.size("t").cast("bigint").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 @query
 def fn_ngrams(spark, folder):
     tokens = _letters(spark, folder).select(
-        "id", text.content_words(F.col("letters"), text.default_stop_words()).alias("t"))
+        "id", text.content_words(F.col("letters"), list(ENGLISH)).alias("t"))
     pairs = tokens.select("id", text.bigrams(F.col("t")).alias("b"))
     return pairs.select("id", F.array_join("b", ",").alias("bigrams"))
 
