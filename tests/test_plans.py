@@ -13,6 +13,7 @@ from kinshelf.sources import fixtures
 NO_SQL = {"agg_perf_stats_approx", "agg_snapshot_inventory", "fn_config_hash"}
 
 
+
 def plan(spark, name):
     return QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
 
