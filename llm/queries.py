@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm.common import documents
 from llm.exact_dedup import exact_dedup
+from llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +17,17 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup,)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), tokenizer_path(), carry={"ids_crc32": F.crc32("ids")})
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_packing)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
