@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm.common import documents
 from llm.exact_dedup import exact_dedup
+from llm.mixing import mix
 from llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), tokenizer_path(), carry={"ids_crc32": F.crc32("ids")})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_packing)}
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op7_mixing)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
