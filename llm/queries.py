@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm.common import documents
+from llm.common import documents, table
 from llm.exact_dedup import exact_dedup
 from llm.mixing import mix
 from llm.packing import pack_documents
+from llm.topk_search import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +33,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op7_mixing)}
+def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_exact_dedup, op3_packing, op7_mixing, op10_topk_search)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
@@ -41,4 +47,13 @@ ORACLES: dict[str, str] = {
         with t as (select doc_id, sha256({_NORMAL}) as text_sha256, {_NORMAL} as normal from documents),
         g as (select normal, min(doc_id) as keep_id, count(*) as group_size from t group by normal)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (normal)""",
+    "op10_topk_search": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+          from embeddings where embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id as vec_id,
+            cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+          from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
 }
