@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from llm import toxicity
 from llm.common import documents, table
 from llm.exact_dedup import exact_dedup
 from llm.mixing import mix
@@ -29,6 +30,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), tokenizer_path(), carry={"ids_crc32": F.crc32("ids")})
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,7 +44,7 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op3_packing, op7_mixing, op10_topk_search)}
+    op1_exact_dedup, op3_packing, op5_toxicity, op7_mixing, op10_topk_search)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
