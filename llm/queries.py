@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from llm import toxicity
 from llm.common import documents, table
 from llm.exact_dedup import exact_dedup
+from llm.jaccard_join import near_duplicates
 from llm.mixing import mix
 from llm.packing import pack_documents
 from llm.topk_search import top_k
@@ -35,6 +36,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,7 +49,7 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op3_packing, op5_toxicity, op7_mixing, op10_topk_search)}
+    op1_exact_dedup, op3_packing, op5_toxicity, op6_jaccard_join, op7_mixing, op10_topk_search)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 

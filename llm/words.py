@@ -39,8 +39,9 @@ def byte_class(which: str) -> np.ndarray:
     return inside
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, last row, bytes, offsets)`` of runs of rows of about ``most`` bytes; null is empty."""
+def chunks(column: pa.Array, most: int = CHUNK_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, last row, bytes, offsets)`` of runs of rows of about ``most`` bytes and at
+    most ``most_rows`` rows; null is empty."""
     texts = column.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -50,6 +51,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+        last = min(last, first + most_rows)
         yield first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last
 
