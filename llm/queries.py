@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import toxicity
+from llm import language, toxicity
 from llm.common import documents, table
 from llm.exact_dedup import exact_dedup
 from llm.jaccard_join import near_duplicates
@@ -27,6 +27,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return language.label(docs, language.train(docs)).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), tokenizer_path(), carry={"ids_crc32": F.crc32("ids")})
 
@@ -49,7 +55,7 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op3_packing, op5_toxicity, op6_jaccard_join, op7_mixing, op10_topk_search)}
+    op1_exact_dedup, op2_language, op3_packing, op5_toxicity, op6_jaccard_join, op7_mixing, op10_topk_search)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
