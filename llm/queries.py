@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import language, toxicity
+from llm import language, secrets, toxicity
 from llm.common import documents, table
 from llm.exact_dedup import exact_dedup
 from llm.jaccard_join import near_duplicates
 from llm.mixing import mix
 from llm.packing import pack_documents
+from llm.spans import digest_columns
 from llm.topk_search import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), tokenizer_path(), carry={"ids_crc32": F.crc32("ids")})
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return secrets.scan(docs, secrets.learn(docs)).select("doc_id", *digest_columns("spans", secrets.KINDS))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
@@ -55,7 +61,7 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_language, op3_packing, op5_toxicity, op6_jaccard_join, op7_mixing, op10_topk_search)}
+    op1_exact_dedup, op2_language, op3_packing, op4_secrets, op5_toxicity, op6_jaccard_join, op7_mixing, op10_topk_search)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
