@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import language, secrets, toxicity
+from llm import language, pii, secrets, toxicity
 from llm.common import documents, table
 from llm.exact_dedup import exact_dedup
 from llm.jaccard_join import near_duplicates
@@ -56,12 +56,16 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, folder)).select("doc_id", *digest_columns("spans", pii.KINDS))
+
+
 def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_language, op3_packing, op4_secrets, op5_toxicity, op6_jaccard_join, op7_mixing, op10_topk_search)}
+    op1_exact_dedup, op2_language, op3_packing, op4_secrets, op5_toxicity, op6_jaccard_join, op7_mixing, op8_pii, op10_topk_search)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
