@@ -7,18 +7,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import documents, materialise
+from llm import toxicity as toxic
+from llm.common import documents, materialise, table
 from llm.exact_dedup import drop_copies
+from llm.jaccard_join import drop_near_duplicates
+from llm.mixing import take
+from llm.packing import pack_documents
+from llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; the machine learns from the labelled rows of ``docs``."""
+    return toxic.drop_toxic(docs, toxic.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id stays."""
     return drop_copies(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources meet their target weights."""
+    return take(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their sequence and offset."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity), ("exact_dedup", exact_dedup), ("jaccard_join", jaccard_join),
+    ("mixing", mixing), ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

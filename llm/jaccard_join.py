@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinshelf.session import small
-from llm.common import materialise, runs_on_workers
+from llm.common import materialise, runs_on_workers, text_or_empty
 from llm.components import components
 from llm.shingles import ROW_BITS, ROWS, SIZE, shingle_sets
 from llm.words import chunks
@@ -77,7 +77,7 @@ def _blocks(range_bits: int, size: int):
     return run
 
 
-NAMES = ["doc_id", "n", "digest", "block", "pos", "range", "ids", "counts"]
+NAMES = ["key", "n", "digest", "block", "pos", "range", "ids", "counts"]
 
 
 def _shared(group: pa.Table) -> pa.Table:
@@ -128,22 +128,27 @@ def _near(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         "linked", _linked(F.col("_inter"), F.col("_na"), F.col("_nb"), share)).drop("_na", "_nb", "_ia", "_ib", "_inter")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows known by id and text, since an id may be repeated with another text."""
+    return docs.select(F.struct("doc_id", F.xxhash64(text_or_empty()).alias("text_key")).alias("key"), "text")
+
+
 def set_classes(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, digest)`` of every row, and the live classes ``(cls, rep)``: those with
-    enough ids shared to have a neighbour."""
+    """``(key, n, digest)`` of every row of ``docs (key, text)``, and the live classes
+    ``(cls, rep)``: those with enough ids shared to have a neighbour."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, chars / CHARS_PER_ID / IDS_PER_RANGE)))))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n bigint, digest binary, block bigint, pos bigint, range bigint, ids binary, counts binary"
-    made = materialise(docs.select("doc_id", "text").mapInArrow(_blocks(bits, size), schema), "shingle_blocks")
-    rows = made.where("pos is not null").select("doc_id", "n", "digest", "block", "pos")
+    key_type = docs.schema["key"].dataType.simpleString()
+    schema = f"key {key_type}, n bigint, digest binary, block bigint, pos bigint, range bigint, ids binary, counts binary"
+    made = materialise(docs.mapInArrow(_blocks(bits, size), schema), "shingle_blocks")
+    rows = made.where("pos is not null").select("key", "n", "digest", "block", "pos")
     shared = made.where("range is not null").select("range", "block", "ids", "counts").groupBy("range").applyInArrow(
         _shared, "block bigint, shared binary")
     totals = shared.groupBy("block").applyInArrow(_summed, "block bigint, pos bigint, shared bigint")
     marked = rows.join(totals, ["block", "pos"], "left").select(
-        "doc_id", "digest", ((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * share)).alias("live"))
+        "key", "digest", ((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * share)).alias("live"))
     live = marked.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.max("live").alias("live")).where("live")
+        F.min("key").alias("rep"), F.max("live").alias("live")).where("live")
     return rows.drop("block", "pos"), materialise(live.select(F.col("digest").alias("cls"), "rep"), "live_classes")
 
 
@@ -206,7 +211,7 @@ def _boundary(regions: DataFrame, distances: DataFrame, sets: DataFrame, share:
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+    """``(doc_id, n_shingles, component_id, text_key)``, one row per row of ``docs``.
 
     Words are folded to lower case (A-Z only) and split at ASCII blanks. Texts with fewer
     than ``size`` words have the whole sequence as one shingle; null and blank texts have the
@@ -215,21 +220,41 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> Da
     rows are linked like any equal texts. Texts of any length are used whole; other columns
     are ignored, and an empty table gives no rows.
     """
+    docs = _keyed(docs)
     rows, live = set_classes(docs, share, size)
-    kept = live.select(F.col("rep").alias("doc_id")).distinct()
-    lists = docs.select("doc_id", "text").join(small(kept), "doc_id", "left_semi").select("text").mapInArrow(
+    kept = live.select(F.col("rep").alias("key"))
+    lists = docs.join(small(kept), "key", "left_semi").select("text").mapInArrow(
         _id_lists(size), "cls binary, n bigint, ids array<bigint>")
     sets = materialise(lists.join(small(live.select("cls")), "cls", "left_semi"), "sets")
     labels = components(materialise(class_links(sets, share), "class_links"))
-    reps = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
+    reps = rows.where("digest is not null").groupBy("digest").agg(F.min("key.doc_id").alias("rep"), F.count("*").alias("k"))
     joined = reps.join(labels, F.col("digest") == F.col("node"), "left").where("k > 1 or component is not null").select(
         "digest", "rep", F.coalesce("component", "digest").alias("component"))
     joined = materialise(joined, "grouped_classes")
     first = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = joined.join(first, "component").select("digest", "component_id", F.lit(True).alias("grouped"))
     return rows.join(of_class, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "key.doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("key.doc_id")).alias("component_id"), "key.text_key")
+
+
+def drop_near_duplicates(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> DataFrame:
+    """One row of each group, with all columns: that of the smallest doc_id. Rows without
+    words are in no group and stay."""
+    labels = materialise(near_duplicates(docs, share, size), "near_labels")
+    key = F.struct("doc_id", F.xxhash64(text_or_empty()).alias("text_key"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = labels.where(~first).select("doc_id", "text_key")
+    # An id may stand for several rows: of those that name their group, one text stays, once.
+    named = labels.where(first & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(
+        F.count("*").alias("k"), F.min("text_key").alias("least")).where("k > 1")
+    repeated = not named.isEmpty()
+    if repeated:
+        other = labels.where(first & (F.col("n_shingles") > 0)).join(named, "doc_id").where("text_key <> least")
+        gone = gone.union(other.select("doc_id", "text_key"))
+    gone = gone.select(F.struct("doc_id", "text_key").alias("_gone")).distinct()
+    stay = docs.join(small(gone), key == F.col("_gone"), "left_anti")
+    return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay
 
 
 runs_on_workers(__name__)

@@ -162,4 +162,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
                         (copies * F.col("size")).alias("taken"))
 
 
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all columns, as often as it is taken."""
+    key = F.struct("doc_id", "source", word_count().alias("size"))
+    plan = mix(docs, weights, most).groupBy(F.struct("doc_id", "source", "size").alias("_key")).agg(
+        F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    plan = materialise(plan, "mix_plan")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    if plan.where("_rows > 1").isEmpty():
+        rows = rows.join(plan.where("_copies > 0"), "_key").withColumn("_n", F.col("_copies"))
+    else:  # rows that look alike share their copies evenly
+        place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+        upto = lambda i: F.floor(i * F.col("_copies") / F.col("_rows"))
+        rows = rows.join(plan, "_key").withColumn("_place", place).withColumn(
+            "_n", upto(F.col("_place")) - upto(F.col("_place") - 1)).where("_n > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")
+
+
 runs_on_workers(__name__)

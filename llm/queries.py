@@ -50,7 +50,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(documents(spark, folder))
+    return near_duplicates(documents(spark, folder)).drop("text_key")
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
