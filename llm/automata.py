@@ -108,26 +108,18 @@ class Automaton:
 
 
 class Background:
-    """Pairs of neighbouring symbols in ordinary tokens."""
+    """Frequencies of symbols in ordinary tokens. Pairs are not used: in a rare context a
+    single odd token of the sample would explain itself."""
 
     def __init__(self, strings: list[str]) -> None:
-        self.pairs: dict[tuple[str, str], int] = {}
-        self.firsts: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
         for text in strings:
-            before = "^"
             for c in text[:LONGEST]:
-                s = symbol(c)
-                self.pairs[before, s] = self.pairs.get((before, s), 0) + 1
-                self.firsts[before] = self.firsts.get(before, 0) + 1
-                before = s
+                self.seen[symbol(c)] = self.seen.get(symbol(c), 0) + 1
+        self.total = sum(self.seen.values())
 
     def log_likelihood(self, text: str) -> float:
-        before, total = "^", 0.0
-        for c in text:
-            s = symbol(c)
-            total += math.log((self.pairs.get((before, s), 0) + 0.5) / (self.firsts.get(before, 0) + 6.0))
-            before = s
-        return total
+        return sum(math.log((self.seen.get(symbol(c), 0) + 0.5) / (self.total + 6.0)) for c in text)
 
 
 runs_on_workers(__name__)

@@ -209,7 +209,7 @@ def _labelled(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
             elif pred[at] < 0:
                 pred[at], score[at] = model.prior, 1.0 / k
         edge = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (row[1:] != row[:-1])])) if len(labels) else np.empty(0, int)
-        stop = np.append(edge[1:], len(labels)) - 1
+        stop = (np.append(edge[1:], len(labels))[:len(edge)] - 1).astype(np.int64)
         values = pa.StructArray.from_arrays(
             [pa.array(first[edge], pa.int64()), pa.array(last[stop], pa.int64()),
              pa.array(np.array(model.languages, object)[labels[edge]] if len(edge) else [], pa.string())], names=["start", "end", "lang"])
