@@ -69,8 +69,3 @@ def _record(catalogue: DataFrame, length: int, always: bool) -> DataFrame:
         default("average_rating", 0.0).alias("rating"),
         F.coalesce(F.col("rating_count"), F.lit(0).cast("bigint")).alias("rating_count"),
     )
-
-
-def essential(recommendations: DataFrame) -> DataFrame:
-    """Rows of a request that asked for no metadata."""
-    return recommendations.select(*ESSENTIAL)

@@ -17,18 +17,14 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
-def letters_only(title: Column, description: Column, authors: Column, categories: Column,
-                 description_max_length: int | None) -> Column:
+def letters_only(title: Column, description: Column, authors: Column, categories: Column) -> Column:
     """Lower-cased ``title description authors categories`` with non-letters blanked."""
-    if description_max_length is not None:
-        description = F.substring(description, 1, description_max_length)
     parts = [F.coalesce(part, F.lit("")) for part in (title, description, authors, categories)]
     return F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), r"[^a-zA-Z\s]", " ")
 
 
-def clean_text(title: Column, description: Column, authors: Column, categories: Column,
-               description_max_length: int | None) -> Column:
-    raw = letters_only(title, description, authors, categories, description_max_length)
+def clean_text(title: Column, description: Column, authors: Column, categories: Column) -> Column:
+    raw = letters_only(title, description, authors, categories)
     return strip(squeeze(raw))
 
 

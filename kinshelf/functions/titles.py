@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from kinshelf.functions.text import squeeze, strip
-from kinshelf.params import SEARCH_TEXT_MAX_LENGTH
 
 # Fixed value: the quote and dash spellings the service rejects or deletes.
 FORBIDDEN = r"(?i)'|\\x27|\\x2D\\x2D|%27|%2D%2D"
@@ -22,10 +21,11 @@ def author_key(authors: Column) -> Column:
     return strip(F.lower(F.coalesce(authors, F.lit(UNKNOWN_AUTHOR))))
 
 
-def sanitise(text: Column) -> Column:
-    """Search form of a query: forbidden spellings deleted, white space squeezed, cut to 1000."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), FORBIDDEN, "")
-    return strip(F.substring(strip(squeeze(kept)), 1, SEARCH_TEXT_MAX_LENGTH))
+def sanitise(text: Column, most: int | None = None) -> Column:
+    """Search form of a query: forbidden spellings deleted, white space squeezed. ``most``
+    cuts it to so many characters; by default it stays whole."""
+    kept = strip(squeeze(F.regexp_replace(F.coalesce(text, F.lit("")), FORBIDDEN, "")))
+    return kept if most is None else strip(F.substring(kept, 1, most))
 
 
 def either_contains(a: Column, b: Column) -> Column:

@@ -1,50 +1,60 @@
-"""Exact interpolated percentiles without holding all values in one task."""
+"""Exact interpolated percentiles by counting ever narrower ranges of values."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from kinshelf.session import union_all
-
-ACCURACY = 10_000
+RANGES = 1_000
+FETCHED = 10_000  # values of one range that may be looked at one by one
 
 
 def exact_percentiles(values: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """``(share, percentile)``, linear between neighbours like ``percentile``.
 
-    A sketch brackets each percentile, a second pass counts the values below and inside the
-    bracket, and only the values inside, under a thousandth of all, are put in order. The
-    sketch decides how much is sorted, never the result: a bracket that misses is widened
-    to the whole range.
+    Each pass cuts the range that holds a wanted rank into ``RANGES`` parts and counts them,
+    for all ranks at once; only counts and bounds reach the driver. A part that holds one
+    value, or few enough to fetch, ends the search. No task ever orders the values.
     """
-    v = F.col(value).cast("double")
-    rows = values.select(v.alias("v")).where(F.col("v").isNotNull())
-    reach = 3 / ACCURACY
-    probes = [F.lit(p) for s in shares for p in (max(s - reach, 0.0), min(s + reach, 1.0))]
-    total, low, high, marks = rows.agg(
-        F.count("*"), F.min("v"), F.max("v"), F.percentile_approx("v", F.array(*probes), F.lit(ACCURACY))).first()
+    spark = values.sparkSession
+    rows = values.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    total, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if not total:
-        return rows.select(F.lit(0.0).alias("share"), F.col("v").alias("percentile")).limit(0)
-    brackets = [(marks[2 * i], marks[2 * i + 1]) for i in range(len(shares))]
-    counted = rows.agg(*[c for lo, hi in brackets for c in (
-        F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi))]).first()
-    parts = []
-    for i, share in enumerate(shares):
-        at = share * (total - 1)
-        first, second = math.floor(at), math.ceil(at)
-        (lo, hi), below = brackets[i], counted[2 * i]
-        if not below <= first <= second < counted[2 * i + 1]:
-            lo, hi, below = low, high, 0
-        inside = rows.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("n"))
-        up_to = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
-        ranked = inside.select("v", up_to.alias("up_to"))
-
-        def at_rank(rank: int):
-            return F.min(F.when(F.col("up_to") > rank, F.col("v")))
-
-        a, b = at_rank(first), at_rank(second)
-        parts.append(ranked.agg((a + (b - a) * (at - first)).alias("percentile")).select(
-            F.lit(share).alias("share"), "percentile"))
-    return union_all(parts)
+        return spark.createDataFrame([], "share double, percentile double")
+    at = {s: s * (total - 1) for s in shares}
+    wanted = sorted({r for x in at.values() for r in (math.floor(x), math.ceil(x))})
+    found: dict[int, float] = {}
+    # rank -> (lower bound, upper bound, rows below the lower bound, rows inside)
+    search = {rank: (low, high, 0, total) for rank in wanted}
+    while search:
+        ranges = sorted({(lo, hi) for lo, hi, _, _ in search.values()})
+        few = [r for r in ranges if next(n for lo, hi, _, n in search.values() if (lo, hi) == r) <= FETCHED]
+        for lo, hi in few:
+            inside = sorted(r["v"] for r in rows.where(F.col("v").between(lo, hi)).collect())
+            for rank, (a, b, below, _) in list(search.items()):
+                if (a, b) == (lo, hi):
+                    found[rank] = inside[rank - below]
+                    del search[rank]
+        ranges = [r for r in ranges if r not in few]
+        if not ranges:
+            break
+        cells = F.array(*[F.when(F.col("v").between(lo, hi), F.struct(
+            F.lit(i).alias("i"), F.floor((F.col("v") - lo) / (hi - lo) * (RANGES - 1)).alias("cell"), F.col("v").alias("v")))
+            for i, (lo, hi) in enumerate(ranges)])
+        counted = rows.select(F.inline(F.filter(cells, lambda c: c.isNotNull()))).groupBy("i", "cell").agg(
+            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for rank, (lo, hi, below, _) in list(search.items()):
+            for part in sorted((c for c in counted if ranges[c["i"]] == (lo, hi)), key=lambda c: c["cell"]):
+                if rank < below + part["n"]:
+                    search[rank] = (part["lo"], part["hi"], below, part["n"])
+                    if part["lo"] == part["hi"]:
+                        found[rank] = part["lo"]
+                        del search[rank]
+                    break
+                below += part["n"]
+    result = []
+    for share in shares:
+        a, b = found[math.floor(at[share])], found[math.ceil(at[share])]
+        result.append((share, a + (b - a) * (at[share] - math.floor(at[share]))))
+    return spark.createDataFrame(result, "share double, percentile double")

@@ -97,9 +97,9 @@ def newest(rows: DataFrame, n: int, tie: str) -> DataFrame:
 
 
 def host_health(samples: DataFrame) -> DataFrame:
-    """Latest sample per host with its issues and status."""
+    """Latest sample per host, of equal times the highest, with its issues and status."""
     facts = ["cpu_percent", "memory_percent", "memory_mb", "disk_usage_percent"]
-    latest = samples.groupBy("host_id").agg(F.max_by(F.struct("ts", *facts), "ts").alias("s")).select(
+    latest = samples.groupBy("host_id").agg(F.max(F.struct("ts", *facts)).alias("s")).select(
         "host_id", "s.*")
     issues = health_issues(F.col("cpu_percent"), F.col("memory_percent"), F.col("disk_usage_percent"))
     return latest.select("*", issues.alias("issues")).select("*", health_status(F.col("issues")).alias("status"))

@@ -154,7 +154,7 @@ def best_first():
 
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` per source, ties by id; most rows are dropped before the shuffle."""
-    ranked = scored.select("*", F.row_number().over(best_first()).alias("rank"))
+    ranked = scored.select("*", F.row_number().over(best_first()).cast("bigint").alias("rank"))
     return ranked.where(F.col("rank") <= k)
 
 

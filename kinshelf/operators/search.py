@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kinshelf.functions.display import display, search_record
+from kinshelf.functions.display import display
 from kinshelf.functions.titles import title_key
 from kinshelf.operators.containment import needles_in_haystacks
 from kinshelf.session import materialise, union_all
@@ -14,19 +16,13 @@ FIELDS = ("title", "authors", "description", "categories")
 BETWEEN = "\u0001"
 
 
-def searchable(catalogue: DataFrame, fields: str) -> DataFrame:
-    """``display`` searches the shown record, ``full`` the whole description."""
-    if fields == "display":
-        source = display(catalogue)
-    elif fields == "full":
-        source = catalogue
-    else:
-        raise ValueError("fields is display or full")
-    lowered = source.select("id", *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS])
+def searchable(catalogue: DataFrame) -> DataFrame:
+    """The four fields in lower case, whole, and all of them in one text."""
+    lowered = catalogue.select("id", *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS])
     return lowered.select("*", F.concat_ws(BETWEEN, *FIELDS).alias("all_fields"))
 
 
-def search_hits(requests: DataFrame, catalogue: DataFrame, fields: str) -> DataFrame:
+def search_hits(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``(request_id, hit, id)``: per request ``(request_id, term, hits)`` the first hits by id.
 
     A blank term finds nothing. A request for no hit or fewer still gets one, as in the
@@ -45,17 +41,17 @@ def search_hits(requests: DataFrame, catalogue: DataFrame, fields: str) -> DataF
     by_id = Window.partitionBy("key").orderBy("id")
     passes = [
         # A pair met through several grams has one id and so one dense rank.
-        pairs.select("key", "id").select("*", F.dense_rank().over(by_id).alias("hit"))
+        pairs.select("key", "id").select("*", F.dense_rank().over(by_id).cast("bigint").alias("hit"))
         .where(F.col("hit") <= most).distinct()
-        for pairs in needles_in_haystacks(keys, "key", "key", searchable(catalogue, fields), "all_fields", in_a_field)
+        for pairs in needles_in_haystacks(keys, "key", "key", searchable(catalogue), "all_fields", in_a_field)
     ]
     if not passes:
-        return asked.select("request_id", F.lit(0).alias("hit"), F.lit(None).cast("bigint").alias("id")).limit(0)
+        return asked.select("request_id", F.lit(0).cast("bigint").alias("hit"), F.lit(None).cast("bigint").alias("id")).limit(0)
     return asked.join(union_all(passes), "key").where(F.col("hit") <= F.col("hits")).select(
         "request_id", "hit", "id")
 
 
-def search(requests: DataFrame, catalogue: DataFrame, fields: str = "display") -> DataFrame:
+def search(requests: DataFrame, catalogue: DataFrame,
+           record: Callable[[DataFrame], DataFrame] = display) -> DataFrame:
     """Search results with their records, attached after the hits are cut down."""
-    record = display(catalogue) if fields == "display" else search_record(catalogue)
-    return search_hits(requests, catalogue, fields).join(record, "id")
+    return search_hits(requests, catalogue).join(record(catalogue), "id")

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinshelf.functions.text import content_words, letters_only, stop_words, terms
 from kinshelf.params import BROADCAST_ROWS, ModelParams
+from kinshelf.session import small
 
 
 def document_terms(catalogue: DataFrame, params: ModelParams) -> DataFrame:
     """``(id, terms)``: the bag of unigrams and bigrams of each book."""
     letters = catalogue.select("id", letters_only(
         F.col("title"), F.col("description"), F.col("authors"), F.col("categories"),
-        params.description_max_length,
     ).alias("letters"))
     tokens = letters.select("id", content_words(F.col("letters"), stop_words(params)).alias("tokens"))
     return tokens.select("id", terms(F.col("tokens"), params.ngram_max).alias("terms"))
@@ -96,5 +96,5 @@ def vectors(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFr
 def postings(doc_vectors: DataFrame, vocab: DataFrame) -> DataFrame:
     """Long form ``(id, term, weight)``."""
     terms_by_idx = vocab.select("idx", "term")
-    return doc_vectors.select("id", F.inline("vec")).join(F.broadcast(terms_by_idx), "idx").select(
+    return doc_vectors.select("id", F.inline("vec")).join(small(terms_by_idx), "idx").select(
         "id", "term", F.col("w").alias("weight"))

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 # They must equal the service being matched for results to agree.
 TITLE_MAX_LENGTH = 500
-SEARCH_TEXT_MAX_LENGTH = 1000
 MIN_LIMIT = 1
 MAX_LIMIT = 100
 MAX_LIMIT_SIMPLE = 50
@@ -16,7 +15,6 @@ RATE_LIMIT_PER_MINUTE = 100
 RATE_WINDOW_SECONDS = 60
 SNAPSHOT_TTL_HOURS = 24
 REQUEST_HISTORY = 10_000
-HOST_HISTORY = 1_000
 DISPLAY_DESCRIPTION_LENGTH = 300
 SEARCH_DESCRIPTION_LENGTH = 200
 CPU_ALERT, MEMORY_ALERT, DISK_ALERT = 80, 85, 90
@@ -29,17 +27,16 @@ BROADCAST_ROWS = 1_000_000
 class ModelParams:
     """TF-IDF parameters.
 
-    ``description_max_length`` is the number of characters of a description that enter
-    the model; ``None`` uses the whole description. ``stop_words`` of ``None`` takes
-    Spark's own English list.
+    Descriptions enter the model whole. ``max_features`` is the size of the top-k vocabulary;
+    ``stop_words`` of ``None`` takes Spark's own English list.
     """
 
+    # The defaults must equal the service being matched.
     max_features: int = 5000
     min_df: int = 3
     max_df: float = 0.7
     ngram_max: int = 2
-    description_max_length: int | None = 500
     stop_words: tuple[str, ...] | None = None
 
 
-WHOLE_TEXT = ModelParams(description_max_length=None)
+DEFAULT_MODEL = ModelParams()

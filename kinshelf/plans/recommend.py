@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinshelf.functions.display import RECORD, display, reason, shown_score
+from kinshelf.functions.display import ESSENTIAL, RECORD, display, reason, shown_score
 from kinshelf.functions.titles import author_key, sanitise, title_key
 from kinshelf.functions.validation import limit_error, limit_value, validate_requests
 from kinshelf.operators.lookup import resolve
@@ -21,11 +21,18 @@ def book_keys(catalogue: DataFrame) -> DataFrame:
 
 
 def find_titles(requests: DataFrame, model: Model) -> DataFrame:
-    """Title resolution alone, stages one and two: ``(request_id, source_id)``, null if not found."""
+    """Title resolution alone, stages one and two: ``(request_id, found, message, source_id)``
+    and the record of the book, nulls if there is none."""
     keyed = materialise(requests.select(
         "request_id", title_key(sanitise(F.col("title"))).alias("key"), F.lit("").alias("scan_key")), "keyed")
     found = resolve(keyed, model.titles, None)
-    return requests.select("request_id").join(found, "request_id", "left").select("request_id", "source_id")
+    met = F.col("source_id").isNotNull()
+    # Fixed value: the message.
+    message = F.when(~met, F.concat(F.lit("No book found matching '"), F.col("title"), F.lit("'")))
+    heads = requests.select("request_id", "title").join(found, "request_id", "left").select(
+        "request_id", met.alias("found"), message.alias("message"), "source_id")
+    record = display(model.catalogue).withColumnRenamed("id", "source_id")
+    return heads.join(record, "source_id", "left").select(*heads.columns, *[c for c in RECORD if c != "id"])
 
 
 def check_requests(requests: DataFrame) -> DataFrame:
@@ -87,37 +94,33 @@ def ranked_sources(answered: DataFrame, model: Model, profile: str) -> DataFrame
 
 def recommend(requests: DataFrame, model: Model, profile: str = "production") -> DataFrame:
     """One row per recommendation; a request without any keeps one row with a null rank.
+    A request without ``include_metadata`` gets the essential fields, the others are null.
 
     ``requests`` has ``request_id, title, limit_raw, threshold_raw, include_metadata``.
     """
     answered = resolved(requests, model, profile)
+    plain = F.lit(True) if profile == "simple" else F.coalesce("include_metadata", F.lit(True))
     ranked = materialise(ranked_sources(answered, model, profile), "ranked")
     keep = F.col("rank") <= F.col("limit")
     if profile == "production":
         keep = keep & (F.col("score") >= F.col("threshold"))
     picked = answered.where(F.col("status") == "ok").join(ranked, "source_id").where(keep).select(
-        "request_id", "rank", "id", "score")
+        "request_id", "rank", "id", "score", plain.alias("_all"))
     record = display(model.catalogue, profile).select(*RECORD)
     detailed = record.join(small(picked), "id").select(
-        "request_id", "rank", *RECORD, shown_score(F.col("score")).alias("similarity_score"),
+        "request_id", "rank",
+        *[F.col(c) if c in ESSENTIAL else F.when(F.col("_all"), F.col(c)).alias(c) for c in RECORD], shown_score(F.col("score")).alias("similarity_score"),
         reason(F.col("score"), profile).alias("reason"))
     head = answered.select("request_id", "title", "query", "status", "error", "source_id")
     out = head.join(detailed.withColumnRenamed("title", "rec_title"), "request_id", "left")
     if profile == "simple":
+        # Fixed value: the message.
         message = F.when(F.col("status") == "not_found",
                          F.concat(F.lit('No books found matching "'), F.col("query"), F.lit('"')))
         out = out.withColumn("message", message)
     return out.withColumnRenamed("title", "asked").withColumnRenamed("rec_title", "title")
 
 
-def summary(recommendations: DataFrame, answered: DataFrame) -> DataFrame:
-    """Header facts per request: found, total, threshold in force."""
-    totals = recommendations.groupBy("request_id").agg(F.count("rank").alias("total"))
-    return answered.join(totals, "request_id").select(
-        "request_id", "query", (F.col("status") == "ok").alias("found"), "source_id", "total",
-        *(["threshold"] if "threshold" in answered.columns else []))
-
-
 def neighbours(source_ids: DataFrame, model: Model, k: int, floor: float) -> DataFrame:
     """Ranked similar books for a table of book ids ``(id)``; ids not in the catalogue are skipped."""
     books = book_keys(model.catalogue)

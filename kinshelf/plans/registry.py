@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinshelf.functions import display as shown
+from kinshelf.functions.display import search_record
 from kinshelf.functions import screening, text, titles, validation
 from kinshelf.functions.stop_words import ENGLISH
 from kinshelf.operators import admission, lookup, ranking, reports, scoring, search, tfidf
-from kinshelf.params import DEFAULT_THRESHOLD, ModelParams, REQUEST_HISTORY, WHOLE_TEXT
+from kinshelf.params import DEFAULT_THRESHOLD, ModelParams, REQUEST_HISTORY, DEFAULT_MODEL
 from kinshelf.plans import recommend as jobs
 from kinshelf.plans.model import Model
 from kinshelf.session import fresh_path, materialise, work_dir
@@ -43,7 +44,7 @@ def snapshot_root(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/kinshelf/{spark.sparkContext.applicationId}/snapshots"
 
 
-def model_of(spark: SparkSession, folder: str, params: ModelParams = WHOLE_TEXT) -> Model:
+def model_of(spark: SparkSession, folder: str, params: ModelParams = DEFAULT_MODEL) -> Model:
     """The model of the catalogue, over whole descriptions; built once per state of the data."""
     tables = fixtures.views(spark, folder)
     return snapshots.load_or_build(tables, cat.load_catalogue(tables), params, snapshot_root(spark))
@@ -59,11 +60,13 @@ def _labelled_sources(spark, folder, model):
 
 
 def _labelled_scores(spark, folder, model):
-    return scoring.scores(_labelled_sources(spark, folder, model), model.vectors, "production")
+    """Scores of the labelled books from the default threshold on; lower ones are not emitted."""
+    sources = _labelled_sources(spark, folder, model)
+    return scoring.scores(sources, model.vectors, "production", floor=DEFAULT_THRESHOLD)
 
 
 def _documents(spark, folder):
-    return tfidf.document_terms(_catalogue(spark, folder), WHOLE_TEXT)
+    return tfidf.document_terms(_catalogue(spark, folder), DEFAULT_MODEL)
 
 
 def _own(sources, books):
@@ -92,9 +95,9 @@ def src_catalogue_parts(spark, folder):
 def snk_snapshot(spark, folder):
     tables = fixtures.views(spark, folder)
     root = fresh_path(spark, "snapshots")
-    snapshots.reload(tables, cat.load_catalogue(tables), WHOLE_TEXT, root)
-    key = snapshots.key_for(tables["books_with_details"], WHOLE_TEXT)
-    found = snapshots.load(spark, root, key, WHOLE_TEXT)
+    snapshots.reload(tables, cat.load_catalogue(tables), DEFAULT_MODEL, root)
+    key = snapshots.key_for(tables, DEFAULT_MODEL)
+    found = snapshots.load(spark, root, key, DEFAULT_MODEL)
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("artefact"), "n")
               for name, df in found.tables().items()]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
@@ -164,8 +167,7 @@ def prj_essential(spark, folder):
 @query
 def flt_threshold(spark, folder):
     model = model_of(spark, folder)
-    kept = _labelled_scores(spark, folder, model).where(F.col("score") >= DEFAULT_THRESHOLD)
-    return kept.groupBy("source_id").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
+    return _labelled_scores(spark, folder, model).groupBy("source_id").agg(F.count("*").alias("n"), F.min("score").alias("lowest"))
 
 
 @query
@@ -280,7 +282,7 @@ def join_not_duplicate(spark, folder):
     books = jobs.book_keys(model.catalogue)
     sources = _labelled_sources(spark, folder, model)
     own = materialise(_own(sources, books), "own")
-    kept = scoring.scores(sources, model.vectors, "production", own)
+    kept = scoring.scores(sources, model.vectors, "production", own, DEFAULT_THRESHOLD)
     return kept.groupBy("source_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
@@ -312,8 +314,8 @@ def agg_term_df(spark, folder):
 @query
 def agg_vocab_prune(spark, folder):
     books = _catalogue(spark, folder)
-    stats = tfidf.term_stats(tfidf.document_terms(books, WHOLE_TEXT))
-    return tfidf.prune(stats, books.agg(F.count("*")).scalar(), WHOLE_TEXT)
+    stats = tfidf.term_stats(tfidf.document_terms(books, DEFAULT_MODEL))
+    return tfidf.prune(stats, books.agg(F.count("*")).scalar(), DEFAULT_MODEL)
 
 
 @query
@@ -381,12 +383,6 @@ def agg_model_stats(spark, folder):
     return snapshots.model_stats(model_of(spark, folder))
 
 
-@query
-def agg_snapshot_inventory(spark, folder):
-    model_of(spark, folder)
-    return snapshots.inventory(spark, snapshot_root(spark))
-
-
 # Ranking, windows, ordered state
 
 @query
@@ -451,7 +447,7 @@ def srt_scores(spark, folder):
 
 @query
 def lim_search(spark, folder):
-    hits = search.search_hits(_view(spark, folder, "search_requests"), _catalogue(spark, folder), "display")
+    hits = search.search_hits(_view(spark, folder, "search_requests"), _catalogue(spark, folder))
     return hits.groupBy("request_id").agg(F.count("*").alias("found"), F.max("id").alias("last_id"))
 
 
@@ -474,11 +470,14 @@ def set_union_ngrams(spark, folder):
 
 @query
 def set_word_overlap(spark, folder):
-    books = jobs.book_keys(_catalogue(spark, folder))
-    words = titles.title_words(titles.plain_title(F.col("title_key")))
-    labelled = _labelled(spark, folder)
-    return books.join(labelled, "id", "left_semi").select("id", F.size(words).cast("bigint").alias("words"), F.size(
-        F.array_intersect(words, F.array(F.lit("the"), F.lit("and"), F.lit("of")))).cast("bigint").alias("common"))
+    """Shared title words of every book and the book twenty ids before it, of the same shelf."""
+    keys = jobs.book_keys(_catalogue(spark, folder))
+    words = keys.select("id", titles.title_words(titles.plain_title(F.col("title_key"))).alias("words"))
+    other = words.select((F.col("id") + 20).alias("id"), F.col("words").alias("others"))
+    common = F.size(F.array_intersect("words", "others"))
+    enough = (common >= 2) & ((common / F.size("words") > 0.7) | (common / F.size("others") > 0.7))
+    return words.join(other, "id").select(
+        "id", F.size("words").cast("bigint").alias("words"), common.cast("bigint").alias("common"), enough.alias("same"))
 
 
 @query
@@ -499,18 +498,18 @@ def set_distinct_id(spark, folder):
 @query
 def fn_clean_text(spark, folder):
     return _catalogue(spark, folder).select("id", text.clean_text(
-        F.col("title"), F.col("description"), F.col("authors"), F.col("categories"), None).alias("clean"))
+        F.col("title"), F.col("description"), F.col("authors"), F.col("categories")).alias("clean"))
 
 
 @query
 def fn_clean_text_simple(spark, folder):
     return _catalogue(spark, folder).select("id", text.letters_only(
-        F.col("title"), F.col("description"), F.col("authors"), F.col("categories"), None).alias("letters"))
+        F.col("title"), F.col("description"), F.col("authors"), F.col("categories")).alias("letters"))
 
 
 def _letters(spark, folder):
     return _catalogue(spark, folder).select("id", text.letters_only(
-        F.col("title"), F.col("description"), F.col("authors"), F.col("categories"), None).alias("letters"))
+        F.col("title"), F.col("description"), F.col("authors"), F.col("categories")).alias("letters"))
 
 
 @query
@@ -542,7 +541,7 @@ def fn_idf(spark, folder):
 @query
 def fn_title_key(spark, folder):
     books = _view(spark, folder, "books_with_details")
-    return books.where(F.col("language") == "en").select("id", titles.title_key(F.col("title")).alias("title_key"))
+    return books.select("id", titles.title_key(F.col("title")).alias("title_key"))
 
 
 @query
@@ -618,7 +617,7 @@ def fn_ellipsis(spark, folder):
 
 @query
 def fn_multi_contains(spark, folder):
-    return search.search_hits(_view(spark, folder, "search_requests"), _catalogue(spark, folder), "full")
+    return search.search_hits(_view(spark, folder, "search_requests"), _catalogue(spark, folder))
 
 
 @query
@@ -630,16 +629,10 @@ def fn_health_flags(spark, folder):
     ).agg(F.count("*").alias("n"))
 
 
-@query
-def fn_config_hash(spark, folder):
-    fingerprint = snapshots.data_fingerprint(_view(spark, folder, "books_with_details"))
-    return fingerprint.select("books", F.lit(snapshots.config_hash(WHOLE_TEXT)).alias("config"))
-
-
 @query
 def fn_snapshot_key(spark, folder):
     fingerprint = snapshots.data_fingerprint(_view(spark, folder, "books_with_details"))
-    return fingerprint.select(snapshots.snapshot_key(F.col("data_key"), F.lit("a1b2c3d4")).alias("snapshot_key"))
+    return fingerprint.select(snapshots.snapshot_key(F.col("data_key"), F.lit(snapshots.config_hash(DEFAULT_MODEL))).alias("snapshot_key"))
 
 
 @query
@@ -696,7 +689,7 @@ def job_search(spark, folder):
 
 @query
 def job_search_full(spark, folder):
-    return search.search(_view(spark, folder, "search_requests"), _catalogue(spark, folder), "full")
+    return search.search(_view(spark, folder, "search_requests"), _catalogue(spark, folder), search_record)
 
 
 @query
@@ -708,22 +701,24 @@ def job_find_title(spark, folder):
 def job_reload(spark, folder):
     tables = fixtures.views(spark, folder)
     root = fresh_path(spark, "snapshots")
-    snapshots.load_or_build(tables, cat.load_catalogue(tables), WHOLE_TEXT, root)
-    model = snapshots.reload(tables, cat.load_catalogue(tables), WHOLE_TEXT, root)
+    snapshots.load_or_build(tables, cat.load_catalogue(tables), DEFAULT_MODEL, root)
+    model = snapshots.reload(tables, cat.load_catalogue(tables), DEFAULT_MODEL, root)
     return snapshots.model_stats(model)
 
 
 @query
 def job_request_report(spark, folder):
+    """All figures of the last hour, the errors of the day and the popular titles."""
     requests = _view(spark, folder, "requests")
     as_of = reports.latest_time(requests)
-    hour = reports.performance_approx(requests, as_of, 60).select(
-        F.lit("requests").alias("section"), F.lit("last hour").alias("label"), F.col("requests_count").alias("n"))
+    hour = reports.performance(requests, as_of, 60)
+    figures = hour.unpivot([], [F.col(c).cast("double").alias(c) for c in hour.columns], "label", "value").select(
+        F.lit("requests").alias("section"), "label", F.round("value", 6).alias("value"))
     errors = reports.error_breakdown(requests, as_of, 1440).select(
-        F.lit("errors").alias("section"), F.col("error_type").alias("label"), F.col("errors").alias("n"))
+        F.lit("errors").alias("section"), F.col("error_type").alias("label"), F.col("errors").cast("double").alias("value"))
     best = reports.popular(requests, as_of).select(
-        F.lit("popular").alias("section"), F.col("book_title").alias("label"), F.col("request_count").alias("n"))
-    return hour.unionByName(errors).unionByName(best)
+        F.lit("popular").alias("section"), F.col("book_title").alias("label"), F.col("request_count").cast("double").alias("value"))
+    return figures.unionByName(errors).unionByName(best)
 
 
 @query
@@ -742,9 +737,7 @@ def job_screen_requests(spark, folder):
 @query
 def str_perf_windows(spark, folder):
     rows = streams.run_to_table(streams.performance_windows(_request_stream(spark, folder)), "perf")
-    return rows.select("window_start", "window_end", "requests_count", "successful_requests", "cache_hits",
-                       F.round("avg_response_time_ms", 6).alias("avg_response_time_ms"),
-                       "min_response_time_ms", "max_response_time_ms")
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
 @query

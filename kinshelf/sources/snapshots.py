@@ -40,9 +40,23 @@ def snapshot_key(data_key: Column, config: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("_", data_key, config)), 1, 12)
 
 
-def key_for(books: DataFrame, params: ModelParams) -> str:
-    row = data_fingerprint(books).select(snapshot_key(F.col("data_key"), F.lit(config_hash(params))))
-    return row.first()[0]
+def content_hash(table: DataFrame) -> DataFrame:
+    """One row: count and order-free hash of all rows, so that any change of content shows."""
+    rows = F.xxhash64(*[F.col(c) for c in table.columns]).cast("decimal(38,0)")
+    return table.agg(F.concat_ws("_", F.count("*").cast("string"), F.coalesce(F.sum(rows), F.lit(0)).cast("string")).alias("content"))
+
+
+def key_for(tables: dict[str, DataFrame], params: ModelParams) -> str:
+    """Key of a state of all source tables and the parameters."""
+    contents = [content_hash(tables[name]).scalar() for name in sorted(tables)]
+    fingerprint = data_fingerprint(tables["books_with_details"])
+    data = F.concat_ws("_", F.col("data_key"), *contents)
+    return fingerprint.select(snapshot_key(data, F.lit(config_hash(params)))).first()[0]
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def valid_snapshots(manifest: DataFrame, as_of: Column, ttl_hours: int = SNAPSHOT_TTL_HOURS,
@@ -97,15 +111,21 @@ def load(spark: SparkSession, root: str, key: str, params: ModelParams, as_of: C
 def load_or_build(tables: dict[str, DataFrame], catalogue: DataFrame, params: ModelParams, root: str) -> Model:
     """Use the snapshot of the present data and parameters, or build it."""
     spark = catalogue.sparkSession
-    key = key_for(tables["books_with_details"], params)
+    key = key_for(tables, params)
     return load(spark, root, key, params) or save(
         lambda write: build_model(catalogue, params, write), spark, root, key)
 
 
 def reload(tables: dict[str, DataFrame], catalogue: DataFrame, params: ModelParams, root: str) -> Model:
-    """Build anew and let the new snapshot replace the old one."""
-    key = key_for(tables["books_with_details"], params)
-    return save(lambda write: build_model(catalogue, params, write), catalogue.sparkSession, root, key)
+    """Build anew and let the new snapshot replace the old ones of its key, which go."""
+    spark, key = catalogue.sparkSession, key_for(tables, params)
+    manifest = read_manifest(spark, root)
+    old = [] if manifest is None else [
+        r["path"] for r in manifest.where(F.col("snapshot_key") == key).select("path").distinct().collect()]
+    model = save(lambda write: build_model(catalogue, params, write), spark, root, key)
+    for path in old:
+        _drop(spark, path)
+    return model
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:

@@ -37,8 +37,15 @@ def performance_windows(requests: DataFrame, size: str = "60 minutes", slide: st
         F.min("duration_ms").alias("min_response_time_ms"),
         F.max("duration_ms").alias("max_response_time_ms"),
         F.percentile_approx("duration_ms", 0.95).alias("p95_response_time_ms"),
+        F.percentile_approx("duration_ms", 0.99).alias("p99_response_time_ms"),
     )
-    return stats.select(*_bounds(), *[c for c in stats.columns if c != "w"])
+    n = F.col("requests_count")
+    return stats.select(
+        *_bounds(), *[c for c in stats.columns if c != "w"],
+        (F.col("successful_requests") / n * 100).alias("success_rate"),
+        ((n - F.col("successful_requests")) / n * 100).alias("error_rate"),
+        (F.col("cache_hits") / n * 100).alias("cache_hit_rate"),
+        (n * 60 / (F.unix_timestamp("w.end") - F.unix_timestamp("w.start"))).alias("requests_per_minute"))
 
 
 def error_windows(requests: DataFrame, size: str = "60 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -56,8 +63,8 @@ def title_windows(requests: DataFrame, size: str = "1 day", delay: str = "10 min
 
 def popular_windows(counts: DataFrame, k: int = 10) -> DataFrame:
     """Top titles of closed windows; a batch operator for ``foreachBatch`` or a written table."""
-    best = Window.partitionBy("window_start").orderBy(F.desc("request_count"), "first_seen")
-    return counts.select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k).drop("first_seen")
+    best = Window.partitionBy("window_start").orderBy(F.desc("request_count"), "first_seen", "book_title")
+    return counts.select("*", F.row_number().over(best).cast("bigint").alias("rank")).where(F.col("rank") <= k).drop("first_seen")
 
 
 def admission_stream(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,

@@ -16,6 +16,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+WHOLE = {"int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE", "string": "VARCHAR"}
+
+
 def cell(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9)
@@ -43,6 +46,10 @@ def compare(spark, con, folder, name):
     got = table(df.columns, rows)
     if got[0] != expected[0]:
         return f"COLUMNS {got[0]} != {expected[0]}", spent, took
+    kinds = {d[0]: str(d[1]) for d in cursor.description}
+    odd = [(c, t, kinds[c]) for c, t in df.dtypes if t in WHOLE and kinds[c] != WHOLE[t]]
+    if odd:
+        return f"TYPES {odd}", spent, took
     if got[1] == expected[1]:
         return f"ok {len(rows)}", spent, took
     a, b = set(map(repr, got[1])), set(map(repr, expected[1]))

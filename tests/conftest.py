@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("kinshelf-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kinshelf-tests-"))
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -33,9 +35,9 @@ def make_books(spark, rows):
 @pytest.fixture(scope="session")
 def shelf(spark):
     return make_books(spark, [
-        (1, "The Great Gatsby", "A story of decadence and excess in the Jazz Age", "F. Scott Fitzgerald", "Fiction|Classic"),
-        (2, "To Kill a Mockingbird", "A gripping tale of racial injustice and childhood innocence", "Harper Lee", "Fiction|Drama"),
-        (3, "Pride and Prejudice", "A romantic novel about manners and marriage", "Jane Austen", "Romance|Classic"),
-        (4, "The Catcher in the Rye", "A coming-of-age story in post-war America", "J.D. Salinger", "Fiction|Coming-of-age"),
-        (5, "1984", "A dystopian social science fiction novel", "George Orwell", "Science Fiction|Dystopian"),
+        (1, "The Harbour Lamp", "A keeper guards a story of storms and lost ships on a northern coast", "Ada Fenn", "Novel|Sea"),
+        (2, "Bread for Winter", "Recipes and stories of a village bakery through one cold year", "Tom Varga", "Cooking|Memoir"),
+        (3, "Orchards and Bees", "A garden novel about patience and marriage in a small valley", "Ines Roth", "Novel|Garden"),
+        (4, "The Clock under the Stairs", "A growing-up story in a house of broken clocks", "Lee Okada", "Novel|Childhood"),
+        (5, "2077", "A science novel of machines that govern a city", "Mira Sol", "Science|Future"),
     ])

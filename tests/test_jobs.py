@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -73,9 +74,9 @@ def test_vectors_have_unit_length_and_known_weights(five):
     for row in five.vectors.collect():
         assert abs(sum(x.w ** 2 for x in row.vec) - 1) < 1e-9
     vocab = {r.term: r for r in five.vocab.collect()}
-    assert vocab["fiction"].df == 4 and vocab["fiction"].ctf == 5
-    assert abs(vocab["fiction"].idf - (math.log(6 / 5) + 1)) < 1e-12
-    assert "coming age" in vocab  # the bigram bridges a removed stop word
+    assert vocab["novel"].df == 4 and vocab["novel"].ctf == 5
+    assert abs(vocab["novel"].idf - (math.log(6 / 5) + 1)) < 1e-12
+    assert "story storms" in vocab  # the bigram bridges a removed stop word
 
 
 def test_empty_vocabulary_is_an_error(shelf):
@@ -89,9 +90,12 @@ def requests(spark, rows):
 
 def test_recommend_statuses(spark, five):
     rows = jobs.recommend(requests(spark, [
-        (1, "THE GREAT GATSBY", "3", "0.0", None), (2, "Moby Dick", None, None, None), (3, "The Handmaid's Tale", None, None, None),
-        (4, "prejudice", "5", None, None), (5, "1984", "0", None, None), (6, "  the  catcher in the rye and more ", None, None, None),
+        (1, "THE HARBOUR LAMP", "3", "0.0", None), (2, "Zeppelin Atlas", None, None, None), (3, "The Keeper's Song", None, None, None),
+        (4, "orchards", "5", "0.0", False), (5, "2077", "0", None, None), (6, "  the  clock under the stairs and more ", None, None, None),
     ]), five).collect()
+    bare = [r for r in rows if r.request_id == 4]
+    assert bare and all(r.title and r.reason and r.slug is None and r.description is None and r.rating is None for r in bare)
+    assert all(r.description for r in rows if r.request_id == 1)
     status = {r.request_id: (r.status, r.source_id) for r in rows}
     assert status == {1: ("ok", 1), 2: ("not_found", None), 3: ("invalid_input", None), 4: ("ok", 3),
                       5: ("invalid_input", None), 6: ("ok", 4)}
@@ -179,12 +183,12 @@ def test_zero_fill_production(spark, crowd, monkeypatch):
 
 
 def test_search(spark, shelf):
-    asked = spark.createDataFrame([(1, " FICTION ", 2), (2, "", 5), (3, "story", 0), (4, "orwell", 10), (5, "zzz", 5)],
+    asked = spark.createDataFrame([(1, " NOVEL ", 2), (2, "", 5), (3, "story", 0), (4, "okada", 10), (5, "zzz", 5)],
                                   "request_id int, term string, hits bigint")
     got = {}
-    for r in search.search_hits(asked, shelf, "display").collect():
+    for r in search.search_hits(asked, shelf).collect():
         got.setdefault(r.request_id, []).append(r.id)
-    assert {k: sorted(v) for k, v in got.items()} == {1: [1, 2], 3: [1], 4: [5]}
+    assert {k: sorted(v) for k, v in got.items()} == {1: [1, 3], 3: [1], 4: [4]}
 
 
 def limiter(rows, limit, window):
@@ -226,16 +230,20 @@ def test_snapshot_round_trip_and_expiry(spark, shelf, tmp_path):
     root = str(tmp_path)
     books = shelf.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp")).withColumn(
         "deleted_at", F.lit(None).cast("timestamp"))
-    tables = {"books_with_details": books}
+    links = spark.createDataFrame([(1, 1)], "canonical_book_id bigint, author_id bigint")
+    tables = {"books_with_details": books, "book_authors": links}
     assert snapshots.load(spark, root, "none", FIVE) is None
     snapshots.load_or_build(tables, shelf, FIVE, root)
-    key = snapshots.key_for(books, FIVE)
+    key = snapshots.key_for(tables, FIVE)
     loaded = snapshots.load(spark, root, key, FIVE)
     assert loaded.catalogue.count() == 5
     later = F.current_timestamp() + F.expr("interval 25 hours")
     assert snapshots.load(spark, root, key, FIVE, later) is None
-    assert snapshots.key_for(books, ModelParams()) != key
-    assert snapshots.key_for(books.limit(0), FIVE) == snapshots.key_for(books.limit(0), FIVE)
+    assert snapshots.key_for(tables, ModelParams()) != key
+    assert snapshots.key_for(tables | {"book_authors": links.limit(0)}, FIVE) != key
+    assert snapshots.key_for(tables | {"books_with_details": books.orderBy(F.desc("id"))}, FIVE) == key
+    old = snapshots.read_manifest(spark, root).first()["path"]
     snapshots.reload(tables, shelf, FIVE, root)
     assert snapshots.read_manifest(spark, root).count() == 2
     assert snapshots.inventory(spark, root).first().total_files > 0
+    assert not os.path.exists(old) and snapshots.load(spark, root, key, FIVE).catalogue.count() == 5
