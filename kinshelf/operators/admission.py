@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinshelf.params import RATE_LIMIT_PER_MINUTE, RATE_WINDOW_SECONDS
-from kinshelf.session import runs_on_workers
+from kinshelf.session import materialise, runs_on_workers
 
 MICROS = 1_000_000
 WINDOWS_PER_SLICE = 60
@@ -119,8 +119,9 @@ def rate_admission(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
     # A free row joins the run of the crowded rows that follow within the window, if any:
     # seen backwards in time those are a trailing frame.
     both = rows.join(chained.select("request_id", "chain"), "request_id", "left").withColumn("back", -F.col("us"))
-    walked = _trailing(both, "back", window, next_chain=F.max("chain")).select(
-        "client", "request_id", "us", "free", F.coalesce("chain", "next_chain").alias("chain"))
+    # Written once: both branches below read it.
+    walked = materialise(_trailing(both, "back", window, next_chain=F.max("chain")).select(
+        "client", "request_id", "us", "free", F.coalesce("chain", "next_chain").alias("chain")), "walked")
     calm = walked.where(F.col("chain").isNull()).select("request_id", F.lit(True).alias("admitted"))
     busy = walked.where(F.col("chain").isNotNull()).repartition("client", "chain").sortWithinPartitions(
         "client", "chain", "us", "request_id")

@@ -33,16 +33,6 @@ class Model:
         return {name: getattr(self, name) for name in self.TABLES}
 
 
-def plan_model(catalogue: DataFrame, params: ModelParams) -> Model:
-    """The model as lazy plans over a (preferably written) catalogue."""
-    documents = tfidf.document_terms(catalogue, params)
-    vocab = tfidf.vocabulary(tfidf.term_stats(documents), catalogue, params)
-    keys = catalogue.select("id", title_key(F.col("title")).alias("title_key"),
-                            author_key(F.col("authors")).alias("author_key"))
-    vec = tfidf.vectors(documents, vocab, params.max_features)
-    return Model(catalogue, vocab, vec.join(keys, "id"), titles_index(catalogue), params)
-
-
 def build_model(catalogue: DataFrame, params: ModelParams, write=materialise) -> Model:
     """Build and write each table once. ``write(df, name)`` stores a table and reads it back."""
     catalogue = write(catalogue, "catalogue")
