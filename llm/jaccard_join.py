@@ -12,12 +12,13 @@ distances carry information before regions are built.
    This test is exact in one direction only, so it loses nothing.
 3. Regions. For the classes left, ids are ordered rare first; two linked sets have to share
    one of their first ``n - ceil(0.75 n) + 1`` ids (anchors). Each anchor has a pivot, the
-   smallest class that holds it, and a class belongs to the regions of its anchors' pivots.
-   Distances to the pivots are computed; what is near a pivot is linked to it.
+   smallest class that holds it, and a class belongs to the regions of its anchors' pivots:
+   its home is the pivot of the most crowded one, the others replicate it where it may have
+   neighbours. The distance to the home pivot is computed; what is near it is linked to it.
 4. Recursion. A region whose members are one component is done. In the others the members
-   outside the pivot's component get a pivot of their own, round by round.
+   outside the last component are measured against a pivot from it, round by round.
 5. Boundaries. Pairs of one region that are still in different components are compared, if
-   the triangle inequality allows: their distances to the common pivot may differ by 0.25.
+   the triangle inequality allows: their distances to a common pivot may differ by 0.25.
 
 Links between sets are found once per pair of components, not once per pair of documents,
 and components are joined by contraction. Bounded memory: a task holds one block, one hash
@@ -152,61 +153,85 @@ def set_classes(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> tuple[
     return rows.drop("block", "pos"), materialise(live.select(F.col("digest").alias("cls"), "rep"), "live_classes")
 
 
-def class_links(sets: DataFrame, share: int = SHARE, rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """``(a, b)``: links between classes ``sets (cls, n, ids)``, enough of them to join what
-    any links join."""
+def regions_of(sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """``(anchor, pivot, k, cls, n, at)``: the classes of each anchor, the place of the anchor
+    in their order, and the anchor's pivot.
+
+    Anchors with the same members (by two sums of hashes and their number) would give the
+    same pairs, so of those the first in the common order stays: its places are the smallest.
+    """
     spread = sets.select("cls", "n", F.explode("ids").alias("id"))
     counts = spread.groupBy("id").agg(F.count("*").alias("df")).where("df > 1")
     common = spread.join(counts, "id").groupBy("cls", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "id"))).alias("common"))
-    window = F.col("n") - F.ceil(F.col("n") * share / 100) + 1 - (F.col("n") - F.size("common"))
-    anchors = materialise(common.where(window > 0).select(
-        "cls", "n", F.explode(F.slice("common", F.lit(1), window.cast("int"))).alias("c")).select(
-        "cls", "n", F.col("c.id").alias("anchor")), "anchors")
-    crowded = anchors.groupBy("anchor").agg(F.count("*").alias("k"), F.min("cls").alias("pivot")).where("k > 1")
-    regions = materialise(anchors.join(crowded, "anchor").select("pivot", "cls", "n", "anchor"), "regions")
-    fits = lambda a, b: (a * 100 >= b * share) & (b * 100 >= a * share)
+    alone = F.col("n") - F.size("common")  # ids of this class only come first in the order
+    window = F.col("n") - F.ceil(F.col("n") * share / 100) + 1 - alone
+    anchors = common.where(window > 0).select(
+        "cls", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), window.cast("int"))).alias("place", "anchor"))
+    anchors = materialise(anchors.select("cls", "n", "anchor", (F.col("alone") + F.col("place")).alias("at")), "anchors")
+    crowded = anchors.groupBy("anchor").agg(
+        F.count("*").alias("k"), F.min("cls").alias("pivot"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"),
+        F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x")).where("k > 1")
+    first = crowded.groupBy("k", "s", "x", "pivot").agg(F.min("anchor").alias("anchor"))
+    return materialise(anchors.join(first.select("anchor", "k", "pivot"), "anchor"), "regions")
+
+
+def class_links(sets: DataFrame, share: int = SHARE, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    """``(a, b)``: links between classes ``sets (cls, n, ids)``, enough of them to join what
+    any links join."""
+    regions = regions_of(sets, share)
     size_of = sets.select(F.col("cls").alias("pivot"), F.col("n").alias("pn"))
-    links, distances = None, None
-    wanted = regions.where("pivot <> cls").select("pivot", "cls", "n").distinct()
-    labels = None
+    links = home = None
+    # Every class is measured against one pivot a round, that of its most crowded open anchor.
+    nearest = F.max(F.struct("k", "pivot"))["pivot"].alias("pivot")
+    wanted = regions.where("pivot <> cls").groupBy("cls", "n").agg(nearest)
     for step in range(rounds):
-        pairs = wanted.join(size_of, "pivot").where(fits(F.col("n"), F.col("pn"))).select(
+        pairs = wanted.join(size_of, "pivot").where(_fits(F.col("n"), F.col("pn"), share)).select(
             F.col("pivot").alias("a"), F.col("cls").alias("b"))
         measured = materialise(_near(pairs, sets, share), "measured")
-        distances = distances or measured
+        home = measured if home is None else home
         found = measured.where("linked").select("a", "b")
-        links = materialise(found if links is None else links.union(found), "links")
-        labels = components(links)
-        named = regions.join(labels, regions["cls"] == labels["node"], "left").select(
-            "pivot", "cls", "n", "anchor", F.coalesce("component", "cls").alias("comp"))
+        links = found if links is None else links.union(found)
+        named = regions.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+            "comp", F.coalesce("component", "cls")).drop("component")
         mixed = named.groupBy("anchor").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        open_regions = materialise(named.join(mixed, "anchor").drop("low"), "open_regions")
+        open_regions = materialise(named.join(mixed.drop("low"), "anchor"), "open_regions")
         if step == rounds - 1 or open_regions.isEmpty():
             break
         # The next pivot of an anchor: the smallest member of its last component.
-        next_pivot = open_regions.where("comp = high").groupBy("anchor").agg(F.min("cls").alias("next"))
-        wanted = open_regions.join(next_pivot, "anchor").where("comp <> high").select(
-            F.col("next").alias("pivot"), "cls", "n").distinct()
-    return links.union(_boundary(open_regions, distances, sets, share, fits))
+        pivots = open_regions.where("comp = high").groupBy("anchor").agg(F.min("cls").alias("pivot"))
+        wanted = open_regions.where("comp <> high").drop("pivot").join(pivots, "anchor").groupBy("cls", "n").agg(nearest)
+    return links.union(_boundary(open_regions, home, sets, share))
+
 
+def _fits(a: Column, b: Column, share: int) -> Column:
+    """Sizes of two sets that may be linked."""
+    return (a * 100 >= b * share) & (b * 100 >= a * share)
 
-def _boundary(regions: DataFrame, distances: DataFrame, sets: DataFrame, share: int, fits) -> DataFrame:
+
+def _boundary(regions: DataFrame, home: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links between members of different components that share an anchor: those outside an
-    anchor's largest component against all its members."""
-    per = regions.groupBy("anchor", "comp").agg(F.count("*").alias("k"))
-    largest = per.groupBy("anchor").agg(F.max(F.struct("k", "comp")).alias("top")).select("anchor", F.col("top.comp").alias("main"))
-    placed = regions.join(largest, "anchor").join(
-        distances.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), "distance"), ["pivot", "cls"], "left")
-    few = placed.where("comp <> main").select(
-        "anchor", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("distance").alias("da"))
-    all_ = placed.select("anchor", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
-                         F.col("distance").alias("db"), "main")
+    anchor's largest component against all its members.
+
+    If the anchor is the first that two sets share, they share no more ids than follow it in
+    either order; pairs whose sizes ask for more are left to an earlier anchor or to none.
+    Sets measured against one pivot are compared only within the triangle inequality.
+    """
+    per = regions.groupBy("anchor", "comp").agg(F.count("*").alias("m"))
+    largest = per.groupBy("anchor").agg(F.max(F.struct("m", "comp")).alias("top")).select("anchor", F.col("top.comp").alias("main"))
+    distance = home.select(F.col("b").alias("cls"), F.col("a").alias("home"), "distance")
+    placed = materialise(regions.select("anchor", "cls", "n", "at", "comp").join(largest, "anchor").join(
+        distance, "cls", "left"), "placed")
+    few = placed.where("comp <> main").select("anchor", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "at", "comp", "home", "distance")])
+    every = placed.select("anchor", "main", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "at", "comp", "home", "distance")])
     reach = (100 - share) / 100 + 1e-9
-    pairs = few.join(all_, "anchor").where(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & fits(F.col("na"), F.col("nb"))
-        & (F.coalesce(F.abs(F.col("da") - F.col("db")), F.lit(0.0)) <= reach)).select("a", "b").distinct()
+    apart = (F.col("home_a") == F.col("home_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) > reach)
+    follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    pairs = few.join(every, "anchor").where(
+        (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("cls_a") < F.col("cls_b")))
+        & _fits(F.col("n_a"), F.col("n_b"), share) & ~F.coalesce(apart, F.lit(False))
+        & (follow * (100 + share) >= (F.col("n_a") + F.col("n_b")) * share)
+    ).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     return _near(pairs, sets, share).where("linked").select("a", "b")
 
 
