@@ -16,7 +16,7 @@ distances carry information before regions are built.
    its home is the pivot of the most crowded one, the others replicate it where it may have
    neighbours. The distance to the home pivot is computed; what is near it is linked to it.
 4. Recursion. A region whose members are one component is done. In the others the members
-   outside the last component are measured against a pivot from it, round by round.
+   outside the largest component are measured against new pivots from it, round by round.
 5. Boundaries. Pairs of one region that are still in different components are compared, if
    the triangle inequality allows: their distances to a common pivot may differ by 0.25.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinshelf.session import small
 from llm.common import materialise, runs_on_workers, text_or_empty
@@ -44,6 +44,7 @@ SHARE = 75  # per cent of the union
 IDS_PER_RANGE = 1_500_000
 CHARS_PER_ID = 6
 PIVOT_ROUNDS = 4
+PIVOTS, PROBES = 4, 12  # of a region, and of a class, in the rounds after the first
 ID_BITS = 64 - ROW_BITS
 
 
@@ -154,8 +155,8 @@ def set_classes(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> tuple[
 
 
 def regions_of(sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """``(anchor, pivot, k, cls, n, at)``: the classes of each anchor, the place of the anchor
-    in their order, and the anchor's pivot.
+    """``(region, pivot, cls, n, at, k)``: the classes that share an anchor whose pivot names
+    the region, with the first place of such an anchor in their order and its members.
 
     Anchors with the same members (by two sums of hashes and their number) would give the
     same pairs, so of those the first in the common order stays: its places are the smallest.
@@ -173,7 +174,10 @@ def regions_of(sets: DataFrame, share: int = SHARE) -> DataFrame:
         F.count("*").alias("k"), F.min("cls").alias("pivot"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"),
         F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x")).where("k > 1")
     first = crowded.groupBy("k", "s", "x", "pivot").agg(F.min("anchor").alias("anchor"))
-    return materialise(anchors.join(first.select("anchor", "k", "pivot"), "anchor"), "regions")
+    # Anchors with one pivot are one region; the first place a class has in it is the bound.
+    members = anchors.join(first.select("anchor", "k", "pivot"), "anchor").groupBy("pivot", "cls", "n").agg(
+        F.min("at").alias("at"), F.max("k").alias("k"))
+    return materialise(members.withColumn("region", F.col("pivot")), "regions")
 
 
 def class_links(sets: DataFrame, share: int = SHARE, rounds: int = PIVOT_ROUNDS) -> DataFrame:
@@ -182,7 +186,7 @@ def class_links(sets: DataFrame, share: int = SHARE, rounds: int = PIVOT_ROUNDS)
     regions = regions_of(sets, share)
     size_of = sets.select(F.col("cls").alias("pivot"), F.col("n").alias("pn"))
     links = home = None
-    # Every class is measured against one pivot a round, that of its most crowded open anchor.
+    # Every class is measured against one pivot a round, that of its most crowded region.
     nearest = F.max(F.struct("k", "pivot"))["pivot"].alias("pivot")
     wanted = regions.where("pivot <> cls").groupBy("cls", "n").agg(nearest)
     for step in range(rounds):
@@ -194,40 +198,55 @@ def class_links(sets: DataFrame, share: int = SHARE, rounds: int = PIVOT_ROUNDS)
         links = found if links is None else links.union(found)
         named = regions.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "comp", F.coalesce("component", "cls")).drop("component")
-        mixed = named.groupBy("anchor").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        open_regions = materialise(named.join(mixed.drop("low"), "anchor"), "open_regions")
+        mixed = named.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        open_regions = materialise(named.join(mixed.drop("low"), "region"), "open_regions")
         if step == rounds - 1 or open_regions.isEmpty():
             break
-        # The next pivot of an anchor: the smallest member of its last component.
-        pivots = open_regions.where("comp = high").groupBy("anchor").agg(F.min("cls").alias("pivot"))
-        wanted = open_regions.where("comp <> high").drop("pivot").join(pivots, "anchor").groupBy("cls", "n").agg(nearest)
+        wanted = _probes(open_regions, step)
     return links.union(_boundary(open_regions, home, sets, share))
 
 
+def _main(regions: DataFrame) -> DataFrame:
+    """``(region, main)``: the largest component of each region."""
+    per = regions.groupBy("region", "comp").agg(F.count("*").alias("m"))
+    return per.groupBy("region").agg(F.max(F.struct("m", "comp")).alias("top")).select("region", F.col("top.comp").alias("main"))
+
+
+def _probes(regions: DataFrame, step: int) -> DataFrame:
+    """``(cls, n, pivot)``: for the members outside a region's largest component, pivots in
+    it, other ones in every round: ``PIVOTS`` a region and ``PROBES`` a class."""
+    placed = regions.drop("pivot").join(_main(regions), "region")
+    drawn = [F.min_by("cls", F.xxhash64("cls", F.lit(step * PIVOTS + j))) for j in range(PIVOTS)]
+    pivots = placed.where("comp = main").groupBy("region").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
+    asked = placed.where("comp <> main").join(pivots, "region").select(
+        "cls", "n", "k", F.explode("pivots").alias("pivot")).groupBy("cls", "n", "pivot").agg(F.max("k").alias("k"))
+    order = Window.partitionBy("cls").orderBy(F.desc("k"), "pivot")
+    return asked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROBES).select("cls", "n", "pivot")
+
+
 def _fits(a: Column, b: Column, share: int) -> Column:
     """Sizes of two sets that may be linked."""
     return (a * 100 >= b * share) & (b * 100 >= a * share)
 
 
 def _boundary(regions: DataFrame, home: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links between members of different components that share an anchor: those outside an
-    anchor's largest component against all its members.
+    """Links between members of different components of a region: those outside its largest
+    component against all its members.
 
-    If the anchor is the first that two sets share, they share no more ids than follow it in
-    either order; pairs whose sizes ask for more are left to an earlier anchor or to none.
+    Two sets share no more ids than follow the first anchor they share, in either order; if
+    it lies in this region, its place is not before ``at``. Pairs whose sizes ask for more are
+    left to another region or to none.
     Sets measured against one pivot are compared only within the triangle inequality.
     """
-    per = regions.groupBy("anchor", "comp").agg(F.count("*").alias("m"))
-    largest = per.groupBy("anchor").agg(F.max(F.struct("m", "comp")).alias("top")).select("anchor", F.col("top.comp").alias("main"))
     distance = home.select(F.col("b").alias("cls"), F.col("a").alias("home"), "distance")
-    placed = materialise(regions.select("anchor", "cls", "n", "at", "comp").join(largest, "anchor").join(
+    placed = materialise(regions.select("region", "cls", "n", "at", "comp").join(_main(regions), "region").join(
         distance, "cls", "left"), "placed")
-    few = placed.where("comp <> main").select("anchor", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "at", "comp", "home", "distance")])
-    every = placed.select("anchor", "main", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "at", "comp", "home", "distance")])
+    few = placed.where("comp <> main").select("region", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "at", "comp", "home", "distance")])
+    every = placed.select("region", "main", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "at", "comp", "home", "distance")])
     reach = (100 - share) / 100 + 1e-9
     apart = (F.col("home_a") == F.col("home_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) > reach)
     follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    pairs = few.join(every, "anchor").where(
+    pairs = few.join(every, "region").where(
         (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("cls_a") < F.col("cls_b")))
         & _fits(F.col("n_a"), F.col("n_b"), share) & ~F.coalesce(apart, F.lit(False))
         & (follow * (100 + share) >= (F.col("n_a") + F.col("n_b")) * share)
