@@ -23,6 +23,7 @@ BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 TERMS = 2_048
 LEAST_ROWS = 3
+LEAST_RATIO = 20.0  # below it a term may well be chance, among so many terms
 FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.3
@@ -67,7 +68,7 @@ def _telling(rows: tuple[int, int]):
         ratio = likelihood_ratio(toxic, clean, rows[1], rows[0])
         ratio[clean + toxic < LEAST_ROWS] = 0
         best = np.argsort(-ratio, kind="stable")[:TERMS]
-        best = best[ratio[best] > 0]
+        best = best[ratio[best] >= LEAST_RATIO]
         at = group["range"][0].as_py() * (BUCKETS // RANGES)
         return pa.table({"term": pa.array(best + at, pa.int64()), "ratio": pa.array(ratio[best], pa.float64())})
 
