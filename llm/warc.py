@@ -35,25 +35,30 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""))
 
 
-def headers_of(block: Column) -> Column:
-    """``map<name, value>`` of the lines ``Name: value``; names in lower case, the last of a
+def header_lines(block: Column) -> Column:
+    return F.filter(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"^[!-9;-~]+:"))
+
+
+def headers_of(lines: Column) -> Column:
+    """``map<name, value>`` of lines ``Name: value``; names in lower case, the last of a
     repeated name counts."""
-    lines = F.filter(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"^[!-9;-~]+:"))
-    pairs = F.transform(lines, lambda x: F.struct(
-        F.lower(F.regexp_extract(x, r"^([^:]+):", 1)).alias("name"),
-        F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)).alias("value")))
+    names = F.transform(lines, lambda x: F.lower(F.substring_index(x, ":", 1)))
+    values = F.transform(lines, lambda x: F.trim(x.substr(F.instr(x, ":") + 1, F.length(x))))
+    pairs = F.arrays_zip(names.alias("name"), values.alias("value"))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
-    return F.map_from_entries(last)
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, values)).otherwise(
+        F.map_from_entries(last))
 
 
 def parse_records(blocks: DataFrame) -> DataFrame:
     """Records from ``(record_id, warc_head, http_head, payload)``: adds ``url, captured_at``
     (epoch seconds), ``kind`` (``response`` for a full answer, ``revisit`` for a 304) and
     ``headers``; other record types have a null kind."""
-    warc = headers_of(F.col("warc_head"))
     status = F.regexp_extract(F.coalesce("http_head", F.lit("")), r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
-    parsed = blocks.select("record_id", warc.alias("w"), status.alias("status"), headers_of(F.col("http_head")).alias("headers"),
-                           "payload")
+    lines = blocks.select("record_id", header_lines(F.col("warc_head")).alias("warc"), status.alias("status"),
+                          header_lines(F.col("http_head")).alias("http"), "payload")
+    parsed = lines.select("record_id", headers_of(F.col("warc")).alias("w"), "status", headers_of(F.col("http")).alias("headers"),
+                          "payload")
     kind = F.when((F.col("w")["warc-type"] == "revisit") & (F.col("status") == "304"), "revisit").when(
         (F.col("w")["warc-type"] == "response") & (F.col("status") == "200"), "response")
     return parsed.select("record_id", F.col("w")["warc-target-uri"].alias("url"),
@@ -112,7 +117,9 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS, most_slic
         "record_id", "url_key", "outcome",
         F.when(F.col("outcome").isin("resolved", "mismatch", "unchecked"), F.col("found.record_id")).alias("response_id"),
         F.when(F.col("outcome") == "resolved", merged).otherwise(F.col("headers")).alias("headers")), "judged")
-    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), "payload").dropDuplicates(["response_id"])
+    # Ids are those of responses already; of a repeated id the first payload that is not null counts.
+    bodies = records.where("payload is not null").groupBy(F.col("record_id").alias("response_id")).agg(
+        F.first("payload").alias("payload"))
     resolved = judged.where("outcome = 'resolved'").join(bodies, "response_id", "left").select(*judged.columns, "payload")
     return resolved.unionByName(judged.where("outcome <> 'resolved'").withColumn("payload", F.lit(None).cast("string")))
 
@@ -121,7 +128,9 @@ def captures_of(pages: DataFrame) -> DataFrame:
     """A crawl history of ``pages``, by rule: each page is captured in full; every third page
     changes later; revisits confirm the first capture, come before it, or ask for a version
     that is gone."""
-    tag = F.md5(F.coalesce("html", F.lit("")))
+    pages = pages.select("page_id", "url", "html", F.md5(F.coalesce("html", F.lit(""))).alias("digest"),
+                         F.length("html").alias("size"))
+    tag = F.col("digest")
     page, second = F.col("page_id"), F.lit(1_000_000)
     rows = F.array(
         F.struct(F.lit(0).alias("turn"), page.alias("at"), F.lit("response").alias("type"), F.concat(F.lit("a"), tag).alias("tag")),
@@ -132,7 +141,8 @@ def captures_of(pages: DataFrame) -> DataFrame:
                      F.concat(F.lit("a"), tag)).alias("tag")),
         F.struct(F.lit(3).alias("turn"), (page - second).alias("at"), F.lit("revisit").alias("type"), F.concat(F.lit("a"), tag).alias("tag")),
         F.struct(F.lit(4).alias("turn"), (page + second * 3).alias("at"), F.lit("revisit").alias("type"), F.concat(F.lit("a"), tag).alias("tag")))
-    each = pages.select("page_id", "url", "html", F.explode(rows).alias("r")).select("page_id", "url", "html", "r.*")
+    each = pages.select("page_id", "url", "html", "size", F.explode(rows).alias("r")).select(
+        "page_id", "url", "html", "size", "r.*")
     full = F.col("type") == "response"
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("at")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return each.select(
@@ -141,5 +151,5 @@ def captures_of(pages: DataFrame) -> DataFrame:
                  F.lit("\r\nWARC-Date: "), stamp, F.lit("\r\n")).alias("warc_head"),
         F.concat(F.when(full, "HTTP/1.1 200 OK").otherwise("HTTP/1.1 304 Not Modified"), F.lit('\r\nETag: "'), F.col("tag"),
                  F.lit('"\r\nX-Turn: '), F.col("turn").cast("string"), F.lit("\r\nContent-Length: "),
-                 F.when(full, F.length("html")).otherwise(0).cast("string"), F.lit("\r\n")).alias("http_head"),
+                 F.when(full, F.col("size")).otherwise(0).cast("string"), F.lit("\r\n")).alias("http_head"),
         F.when(full, F.col("html")).alias("payload"))
