@@ -48,6 +48,16 @@ PIVOTS, PROBES = 4, 12  # of a region, and of a class, in the rounds after the f
 ID_BITS = 64 - ROW_BITS
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest whole numbers that hold all of them, after a byte with their width."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
 def _blocks(range_bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -72,7 +82,7 @@ def _blocks(range_bits: int, size: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(k, batch.column(0).type), none, pa.nulls(k, pa.binary()), pa.array(np.full(k, block), pa.int64()), none,
                      pa.array(found, pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
-                     pa.array([np.bincount(rows[a:b], minlength=n).astype(np.uint16).tobytes() for a, b in zip(begins, ends)], pa.binary())],
+                     pa.array([_packed(np.bincount(rows[a:b], minlength=n)) for a, b in zip(begins, ends)], pa.binary())],
                     names=NAMES)
                 block += 1
 
@@ -85,21 +95,24 @@ NAMES = ["key", "n", "digest", "block", "pos", "range", "ids", "counts"]
 def _shared(group: pa.Table) -> pa.Table:
     """Of the blocks of one hash range: ids of each row that another row has as well."""
     ids = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group["ids"]])
-    counts = [np.frombuffer(x.as_py(), np.uint16) for x in group["counts"]]
+    counts = [_unpacked(x.as_py()) for x in group["counts"]]
     order = np.argsort(ids)
     same = ids[order][1:] == ids[order][:-1]
     seen = np.zeros(len(ids), bool)
     seen[order[1:][same]] = True
     seen[order[:-1][same]] = True
     total = np.concatenate([[0], np.cumsum(seen)])
-    ends = np.cumsum(np.concatenate(counts))
-    shared = (total[ends] - total[ends - np.concatenate(counts)]).astype(np.uint16)
+    held = np.concatenate(counts)
+    ends = np.cumsum(held)
+    if ends[-1] != len(ids):
+        raise ValueError(f"{len(ids)} ids of a range, but their counts make {ends[-1]}")
+    shared = total[ends] - total[ends - held]
     parts = np.split(shared, np.cumsum([len(c) for c in counts])[:-1])
-    return pa.table({"block": group["block"], "shared": pa.array([p.tobytes() for p in parts], pa.binary())})
+    return pa.table({"block": group["block"], "shared": pa.array([_packed(p) for p in parts], pa.binary())})
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in group["shared"])
+    total = sum(_unpacked(x.as_py()) for x in group["shared"])
     return pa.table({"block": pa.array(np.full(len(total), group["block"][0].as_py()), pa.int64()),
                      "pos": pa.array(np.arange(len(total)), pa.int64()), "shared": pa.array(total, pa.int64())})
 

@@ -109,6 +109,15 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert sorted(tuple(r)[:3] for r in got.collect()) == linked_groups(rows)
 
 
+def test_near_copies_of_more_shingles_than_16_bits_count(spark):
+    words = [f"u{k}" for k in range(70_000)]
+    edited = words[:]
+    edited[35_000] = "other"
+    rows = [(0, " ".join(words)), (1, " ".join(edited))] + [(i + 2, t) for i, t in noisy_corpus(7, 40)]
+    got = near_duplicates(docs_of(spark, rows, parts=1).sortWithinPartitions("doc_id"))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == linked_groups(rows)
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(spark):
     rows = noisy_corpus(3, 60) + [(500, None), (501, "")]
     rows += [rows[4], (4, rows[4][1] + " more")]
