@@ -2,9 +2,12 @@
 
 Terms are words and word beginnings, folded to lower case and hashed. The machine scores a
 text by linear weights and learned pairwise interactions of the terms present. It is learned
-from at most ``TRAIN_ROWS`` labelled rows: term counts in a distributed pass, the most telling
-terms kept, and the weights fitted by gradient steps on those terms. Scoring is one map over
-the whole texts.
+from at most ``TRAIN_ROWS`` labelled rows. Term counts come from a distributed pass. The terms
+that tell most alone are fitted first; from there, sparse gradient steps go over all terms seen
+in ``LEAST_ROWS`` rows, so that terms that tell only in pairs take part. Every tenth row is held
+back and decides after how many of these passes the fit stops: it may be none, if more terms
+only fit chance, and then the machine has the first terms alone. Scoring is one map over the
+whole texts.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from llm.words import Hashes, byte_class, byte_values, chunks, word_bounds
 TRAIN_ROWS = 30_000  # bound of the labelled sample
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)  # bytes
-TERMS = 2_048
+TERMS = 2_048  # fitted first
 LEAST_ROWS = 3
-LEAST_RATIO = 20.0  # below it a term may well be chance, among so many terms
+LEAST_RATIO = 20.0  # of the terms fitted first; below it a term may well be chance, among so many
 FACTORS = 8
 EPOCHS = 30
+PATIENCE = 10  # passes over all terms without a better fit of the rows held back
+ROW_TERMS = 10  # rows with more terms take smaller steps
 THRESHOLD = 0.3
 RANGES = 16
 
@@ -61,16 +66,14 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["range", "clean", "toxic"])
 
 
-def _telling(rows: tuple[int, int]):
-    """The most telling buckets of a range, by the likelihood ratio of presence and label."""
+def _counted(rows: tuple[int, int]):
+    """The buckets of a range that enough rows have, with the likelihood ratio of presence and label."""
     def run(group: pa.Table) -> pa.Table:
         clean, toxic = (sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in group[c]) for c in ("clean", "toxic"))
-        ratio = likelihood_ratio(toxic, clean, rows[1], rows[0])
-        ratio[clean + toxic < LEAST_ROWS] = 0
-        best = np.argsort(-ratio, kind="stable")[:TERMS]
-        best = best[ratio[best] >= LEAST_RATIO]
+        seen = np.flatnonzero(clean + toxic >= LEAST_ROWS)
+        ratio = likelihood_ratio(toxic[seen], clean[seen], rows[1], rows[0])
         at = group["range"][0].as_py() * (BUCKETS // RANGES)
-        return pa.table({"term": pa.array(best + at, pa.int64()), "ratio": pa.array(ratio[best], pa.float64())})
+        return pa.table({"term": pa.array(seen + at, pa.int64()), "ratio": pa.array(ratio, pa.float64())})
 
     return run
 
@@ -131,6 +134,80 @@ def fit(terms: np.ndarray, text: np.ndarray, term: np.ndarray, label: np.ndarray
     return Machine(terms, bias, linear, v)
 
 
+def fit_all(terms: np.ndarray, ratio: np.ndarray, text: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = FACTORS,
+            epochs: int = EPOCHS, rate: float = 0.02, decay: float = 1e-4, batch: int = 512, seed: int = 1) -> Machine:
+    """The most telling terms fitted alone, then all of them by sparse steps from there, with the
+    weights of the pass that fits the rows held back best. ``text`` ascends."""
+    m, n, rng = len(terms), len(label), np.random.default_rng(seed)
+    first = np.argsort(-ratio, kind="stable")[:TERMS]
+    first = first[ratio[first] >= LEAST_RATIO]
+    place = np.full(m, -1, np.int32)
+    place[first] = np.arange(len(first))
+    told = place[term] >= 0
+    told_text, told_term = text[told], place[term[told]]
+    back = np.arange(n) % 10 == 9
+    if not m or not back.any():
+        return fit(terms[first], told_text, told_term, label, factors, seed=seed)
+    of_fit = ~back[told_text]
+    start = fit(terms[first], (np.cumsum(~back) - 1)[told_text[of_fit]], told_term[of_fit], label[~back], factors, seed=seed)
+    bias, w = start.bias, np.zeros((m, factors + 1))
+    w[:, 1:] = rng.normal(0, 0.01, (m, factors))
+    w[first] = np.column_stack([start.linear, start.factors])
+    starts = np.searchsorted(text, np.arange(n + 1))
+    rate *= min(1.0, ROW_TERMS * n / max(len(term), 1))
+    moments, touched, bias_moment, steps = np.zeros(w.shape, np.float32), np.zeros(m, np.float32), 0.0, 0
+
+    def held(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = starts[rows + 1] - starts[rows]
+        before = np.cumsum(size) - size
+        return np.repeat(np.arange(len(rows)), size), term[np.arange(size.sum()) + np.repeat(starts[rows] - before, size)]
+
+    def sums(row: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        s = np.stack([np.bincount(row, f[at], k) for f in weights])
+        return s, bias + s[0] + 0.5 * ((s[1:] ** 2).sum(0) - np.bincount(row, (weights[1:] ** 2).sum(0)[at], k))
+
+    def loss(weights: np.ndarray) -> float:
+        total, rows = 0.0, np.flatnonzero(back)
+        for at in range(0, len(rows), batch):
+            some = rows[at:at + batch]
+            z = sums(*held(some), weights, len(some))[1]
+            total += np.logaddexp(0, np.where(label[some] > 0, -z, z)).sum()
+        return total
+
+    alone = np.zeros_like(w)
+    alone[first] = w[first]
+    least, best, since = loss(alone.T), None, 0
+    del alone
+    for _ in range(epochs):
+        shuffled = rng.permutation(np.flatnonzero(~back))
+        for at in range(0, len(shuffled), batch):
+            rows = shuffled[at:at + batch]
+            row, of = held(rows)
+            seen = np.zeros(m, bool)
+            seen[of] = True
+            used = np.flatnonzero(seen)
+            place[used] = np.arange(len(used))
+            of = place[of]
+            weights = np.ascontiguousarray(w[used].T)
+            s, z = sums(row, of, weights, len(rows))
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
+            step = np.stack([np.bincount(of, (error * f)[row], len(used)) for f in (np.ones(len(rows)), *s[1:])])
+            step[1:] -= weights[1:] * step[0]
+            step = (step + decay * weights).T
+            touched[used] += 1
+            steps += 1
+            moments[used] = 0.99 * moments[used] + 0.01 * step**2
+            w[used] -= rate * step / (np.sqrt(moments[used] / (1 - 0.99 ** touched[used])[:, None]) + 1e-6)
+            bias_moment = 0.99 * bias_moment + 0.01 * error.sum() ** 2
+            bias -= rate * float(error.sum()) / (np.sqrt(bias_moment / (1 - 0.99**steps)) + 1e-6)
+        now, since = loss(w.T), since + 1
+        if now < least:
+            least, best, since = now, Machine(terms, bias, w[:, 0].copy(), w[:, 1:].copy()), 0
+        if since >= PATIENCE:
+            break
+    return best or fit(terms[first], told_text, told_term, label, factors, seed=seed)
+
+
 def _places(terms: np.ndarray) -> np.ndarray:
     places = np.full(BUCKETS, -1, np.int32)
     places[terms] = np.arange(len(terms))
@@ -153,7 +230,7 @@ def _features(terms: np.ndarray):
                 bounds = np.searchsorted(text, np.arange(last - first + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(first, last - first),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(term, pa.int64()))], names=["label", "terms"])
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))], names=["label", "terms"])
 
     return run
 
@@ -167,14 +244,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counts = rows.mapInArrow(_counter, "range bigint, clean binary, toxic binary")
-    found = counts.groupBy("range").applyInArrow(_telling((n.get(0, 0), n.get(1, 0))), "term bigint, ratio double")
-    terms = np.array([r["term"] for r in found.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()], np.int64)
-    held = rows.mapInArrow(_features(terms), "label bigint, terms array<bigint>").toArrow()
+    found = counts.groupBy("range").applyInArrow(_counted((n.get(0, 0), n.get(1, 0))), "term bigint, ratio double")
+    found = found.toArrow().sort_by("term")
+    terms, ratio = found["term"].to_numpy(), found["ratio"].to_numpy()
+    held = rows.mapInArrow(_features(terms), "label bigint, terms array<int>").toArrow()
     label = held["label"].to_numpy()
-    lists = held["terms"].combine_chunks()
-    sizes = np.array([len(x) for x in lists.to_pylist()], np.int64) if len(lists) else np.empty(0, np.int64)
-    text = np.repeat(np.arange(len(label)), sizes)
-    return fit(terms, text, lists.flatten().to_numpy() if len(lists) else np.empty(0, np.int64), label)
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in held["terms"].chunks] or [np.empty(0, int)])
+    term = np.concatenate([c.flatten().to_numpy() for c in held["terms"].chunks] or [np.empty(0, np.int32)])
+    del held
+    return fit_all(terms, ratio, np.repeat(np.arange(len(label), dtype=np.int32), sizes), term, label)
 
 
 def _scorer(machine: Machine):
