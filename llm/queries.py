@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import language, pii, secrets, toxicity
 from llm.common import documents, table
+from llm.conversations import damaged_report
 from llm.exact_dedup import exact_dedup
 from llm.jaccard_join import near_duplicates
 from llm.mixing import mix
@@ -72,8 +73,13 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return damaged_report(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_language, op3_packing, op4_secrets, op5_toxicity, op6_jaccard_join, op7_mixing, op8_pii, op9_warc, op10_topk_search)}
+    op1_exact_dedup, op2_language, op3_packing, op4_secrets, op5_toxicity, op6_jaccard_join, op7_mixing, op8_pii, op9_warc, op10_topk_search,
+    op11_conversations)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
