@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import language, pii, secrets, toxicity
+from llm import check_sql, language, pii, secrets, toxicity
 from llm.common import documents, table
 from llm.conversations import damaged_report
 from llm.exact_dedup import exact_dedup
@@ -15,6 +15,7 @@ from llm.mixing import mix
 from llm.packing import pack_documents
 from llm.spans import digest_columns
 from llm.topk_search import top_k
+from llm.vector_codes import code_report, compress
 from llm.warc import captures_of, parse_records, resolve_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,13 +78,19 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return damaged_report(table(spark, folder, "conversations"))
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, _ = compress(table(spark, folder, "embeddings"))
+    return code_report(codes)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_exact_dedup, op2_language, op3_packing, op4_secrets, op5_toxicity, op6_jaccard_join, op7_mixing, op8_pii, op9_warc, op10_topk_search,
-    op11_conversations)}
+    op11_conversations, op12_vector_codes)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": check_sql.vector_codes(),
     "op1_exact_dedup": f"""
         with t as (select doc_id, sha256({_NORMAL}) as text_sha256, {_NORMAL} as normal from documents),
         g as (select normal, min(doc_id) as keep_id, count(*) as group_size from t group by normal)
