@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import check_sql, language, pii, secrets, toxicity
+from llm.collision_search import search_nearest
 from llm.common import documents, table
 from llm.conversations import damaged_report
 from llm.exact_dedup import exact_dedup
@@ -83,9 +84,13 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return code_report(codes)
 
 
+def op13_collision_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search_nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_exact_dedup, op2_language, op3_packing, op4_secrets, op5_toxicity, op6_jaccard_join, op7_mixing, op8_pii, op9_warc, op10_topk_search,
-    op11_conversations, op12_vector_codes)}
+    op11_conversations, op12_vector_codes, op13_collision_search)}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
@@ -101,7 +106,7 @@ ORACLES: dict[str, str] = {
             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select q.vec_id as query_id, c.vec_id as vec_id,
             cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-          from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+          from (select distinct vec_id, v from v) q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
     "op9_warc": r"""

@@ -1,12 +1,9 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards by hash and queries to groups by hash, both of bounded size; a
-task holds one shard and one group of queries. Each shard builds a ball tree (centre and
-radius per node). A query visits nodes in the order of the upper bound ``q.c + |q| r`` and
-stops when no bound reaches its current kth score.
-
-The kth score is shared between shards: a first round searches one shard per query group,
-and its kth scores are the starting bar of the second round, over all other shards.
+Vectors are dealt to shards by space (``llm.space``). Each shard builds a ball tree (centre and radius
+per node). A question visits nodes in the order of the upper bound ``q.c + |q| r`` and stops when no
+bound reaches its current kth score. The kth score of the shard where the question's own vector lies
+is the starting bar in all other shards, and shards whose root bound is below it are not asked.
 """
 
 from __future__ import annotations
@@ -15,16 +12,14 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.common import bucket, materialise, runs_on_workers
+from llm.common import runs_on_workers
+from llm.space import QUERY_ROWS, REGIONS, nearest
 
 SHARD_ROWS = 4_096
-QUERY_ROWS = 2_048
 LEAF_ROWS = 64
 EXACT = 2.0**53
-FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vector: Column) -> Column:
@@ -64,16 +59,15 @@ class BallTree:
         self.centres, self.radii = np.array(self.centre), np.array(self.radius)
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
-                 bars: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The best ``k`` of a shard per query, without the query's own row; rows below the bar,
-    the kth score already known, may be left out."""
+def search_shard(least: np.ndarray, vectors: np.ndarray, queries: np.ndarray, bars: np.ndarray,
+                 k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(question, rows, scores)``: the best ``k`` of a shard, ties to the smaller id; rows below the
+    bar, the kth score already known, may be left out."""
     tree = BallTree(vectors)
-    ids, rows = ids[tree.order], vectors[tree.order]
+    ids, rows = least[tree.order], vectors[tree.order]
     norms = np.sqrt((queries**2).sum(axis=1))
     bounds = queries @ tree.centres.T + norms[:, None] * tree.radii[None, :]
     bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * (tree.radii + np.sqrt((tree.centres**2).sum(axis=1))) + 1)
-    found = []
     for q in range(len(queries)):
         bound, bar, best = bounds[q], bars[q], []
         heap = [(-bound[0], 0)]
@@ -88,98 +82,47 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
                 continue
             first, last = tree.span[node]
             scores = rows[first:last] @ queries[q]
-            for at in np.flatnonzero(scores >= bar):
-                if ids[first + at] != query_ids[q]:
-                    best.append((-scores[at], int(ids[first + at])))
+            best += [(-scores[at], int(ids[first + at]), first + at) for at in np.flatnonzero(scores >= bar)]
             if len(best) > k:
                 best = heapq.nsmallest(k, best)
             if len(best) == k:
                 bar = max(bar, -max(best)[0])
-        found += [(int(query_ids[q]), row, int(-score)) for score, row in best]
-    return found
+        best.sort()
+        yield q, tree.order[[at for _, _, at in best]], np.array([int(-s) for s, _, _ in best], np.int64)
 
 
-def _huge(ids, vectors, query_ids, queries, k) -> list[tuple[int, int, int]]:
+def _huge(least: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Scores beyond what doubles hold exactly: whole numbers, kept within 64 bits."""
-    found = []
     low, high = -(2**63), 2**63 - 1
     rows = [[int(x) for x in v] for v in vectors]
-    for query_id, query in zip(query_ids.tolist(), queries):
+    for at, query in enumerate(queries):
         q = [int(x) for x in query]
-        scored = ((-min(high, max(low, sum(a * b for a, b in zip(q, v)))), int(i))
-                  for i, v in zip(ids.tolist(), rows) if i != query_id)
-        found += [(query_id, row, -score) for score, row in heapq.nsmallest(k, scored)]
-    return found
-
-
-def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-
-
-def _searcher(k: int):
-    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if vectors.num_rows and queries.num_rows:
-            rows, asked = _matrix(vectors["v"], vectors.num_rows), _matrix(queries["query"], queries.num_rows)
-            ids, query_ids = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-            size = rows.shape[1]
-            largest = float(np.abs(rows.astype(float)).max(initial=0)) * float(np.abs(asked.astype(float)).max(initial=0))
-            if largest * max(size, 1) < EXACT:
-                bars = queries["bar"].to_numpy().astype(float)
-                found = search_shard(ids, rows.astype(float), query_ids, asked.astype(float), bars, k)
-            else:
-                found = _huge(ids, rows, query_ids, asked, k)
-        q, v, s = zip(*found) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()),
-                         "score": pa.array(s, pa.int64())})
-
-    return run
+        scored = ((-min(high, max(low, sum(a * b for a, b in zip(q, v)))), i, r) for r, (i, v) in enumerate(zip(least.tolist(), rows)))
+        best = heapq.nsmallest(k, scored)
+        yield at, np.array([r for _, _, r in best], np.int64), np.array([-s for s, _, _ in best], np.int64)
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def find(x: np.ndarray, least: np.ndarray, questions: np.ndarray, bars: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    rows, asked = x.astype(float), questions.astype(float)
+    largest = float(np.abs(rows).max(initial=0)) * float(np.abs(asked).max(initial=0))
+    if largest * max(x.shape[1], 1) < EXACT:
+        return search_shard(least, rows, asked, bars, k)
+    return _huge(least, x, questions, k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS,
-          query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
+          regions: int = REGIONS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` highest inner products of each query row
     with every other row, ties to the smaller vec_id; fewer where there are fewer rows.
 
     ``vectors`` are ``(vec_id, embedding)``; components count as ``floor(256 x)``. Rows with a
     null id, a null vector, or a null or non-finite component take no part. Only vectors of
     one length are compared. A row repeated with its id is scored as often as it stands there,
-    never against its own id. Scores beyond 64 bits stop at the limit. Other columns are
-    ignored. An empty table gives no rows.
+    never against its own id, and asks once. Scores beyond 64 bits stop at the limit. Other columns
+    are ignored. An empty table gives no rows.
     """
-    ready = vectors.select("vec_id", quantised(F.col("embedding")).alias("v"), is_query.alias("asks")).where(
-        F.col("vec_id").isNotNull() & F.col("v").isNotNull()).withColumn("dim", F.size("v"))
-    ready = materialise(ready, "vectors")
-    counts = ready.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("asks")).alias("q"))
-    n, q = counts.agg(F.max("n"), F.max("q")).first()
-    shards, groups = -(-(n or 1) // shard_rows), -(-(q or 1) // query_rows)
-    rows = ready.select("vec_id", "v", "dim", bucket(F.col("vec_id"), shards).alias("shard"))
-    asked = ready.where("asks").select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.col("dim").alias("dim"),
-        bucket(F.col("vec_id"), groups, 1).alias("part"))
-    home = F.pmod(F.col("part"), F.lit(shards))
-
-    def search(queries: DataFrame, dealt: DataFrame) -> DataFrame:
-        key = ["dim", "shard", "part"]
-        return dealt.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_searcher(k), FOUND)
-
-    first = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).where(F.col("shard") == home)
-    begun = materialise(_top(search(
-        asked.withColumn("shard", home).withColumn("bar", F.lit(float("-inf"))), first), k), "first_round")
-    bars = begun.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("got"))
-    barred = asked.join(bars, "query_id", "left").select(
-        "query_id", "query", "dim", "part",
-        F.when(F.col("got") == k, F.col("least").cast("double")).otherwise(float("-inf")).alias("bar"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
-    second = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).where(F.col("shard") != home)
-    rest = search(barred.withColumn("shard", F.explode(others)), second)
-    return _top(begun.select("query_id", "vec_id", "score").unionByName(rest), k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ready = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("x"), is_query.alias("asks"))
+    return nearest(ready.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()), k, find, "bigint", shard_rows, query_rows, regions)
 
 
 runs_on_workers(__name__)
