@@ -7,7 +7,7 @@ bounded number of rows; the catalogue side is streamed and never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -74,8 +74,8 @@ def _rows(df: DataFrame, text: str, grams: Column) -> DataFrame:
 
 
 def needles_in_haystacks(needles: DataFrame, needle: str, key: str, haystacks: DataFrame, haystack: str,
-                         verify: Callable[[], Column] | None = None) -> Iterator[DataFrame]:
-    """Pairs with ``needle`` inside ``haystack``; the needles are the request side.
+                         verify: Callable[[], Column] | None = None, by: Sequence[str] = ()) -> Iterator[DataFrame]:
+    """Pairs with ``needle`` inside ``haystack`` and equal columns ``by``; the needles are the request side.
 
     ``needles`` is read once per pass and should be cheap to recompute. Yields one frame per pass; a pair can occur more
     than once in it. ``verify`` replaces the plain containment test.
@@ -91,12 +91,12 @@ def needles_in_haystacks(needles: DataFrame, needle: str, key: str, haystacks: D
     stream = _rows(haystacks, haystack, _haystack_grams(F.col(haystack), SAMPLED, wanted))
     for k in range(n_passes):
         small = _rows(in_pass(needles, key, n_passes, k), needle, _needle_grams(F.col(needle), SAMPLED))
-        pairs = stream.join(F.broadcast(small), ["cls", "gram"]).where(test())
+        pairs = stream.join(F.broadcast(small), [*by, "cls", "gram"]).where(test())
         yield pairs.drop("cls", "gram")
 
 
 def haystacks_around_needles(haystacks: DataFrame, haystack: str, key: str, needles: DataFrame,
-                             needle: str) -> Iterator[DataFrame]:
+                             needle: str, by: Sequence[str] = ()) -> Iterator[DataFrame]:
     """The same pairs with the haystacks as the request side and many needles.
 
     A needle gives a single gram here, so the needle side keeps its number of rows.
@@ -111,5 +111,5 @@ def haystacks_around_needles(haystacks: DataFrame, haystack: str, key: str, need
     for k in range(n_passes):
         part = in_pass(haystacks, key, n_passes, k)
         small = _rows(part, haystack, _haystack_grams(F.col(haystack), DENSE, wanted))
-        pairs = stream.join(F.broadcast(small), ["cls", "gram"])
+        pairs = stream.join(F.broadcast(small), [*by, "cls", "gram"])
         yield pairs.where(F.contains(F.col(haystack), F.col(needle))).drop("cls", "gram")

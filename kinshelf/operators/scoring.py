@@ -1,4 +1,11 @@
-"""Cosine scores of a set of source books against the whole catalogue."""
+"""Cosine scores of a set of source books against the whole catalogue.
+
+Sources are dealt to groups by hash and books to blocks by their heaviest term, both of bounded
+size. A task scores one block against one group, in slices of books. A slice is skipped for the
+sources whose bound, their vector times the largest weight of each term in the slice, is below their
+bar. With ``keep``, the bar of a source is the ``keep``-th best score in the block its own vector lies in,
+which is scored first.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kinshelf.functions.titles import same_title, title_form
-from kinshelf.session import in_pass, materialise, pass_count, runs_on_workers, small, union_all
+from kinshelf.operators.duplicates import blocked_works, work_key
+from kinshelf.session import materialise, runs_on_workers, small
 
-SOURCES_PER_PASS = 4_000
-BOOKS_PER_BLOCK = 256
+SOURCES_PER_PASS = 1_024  # in a group
+BOOKS_PER_BLOCK = 4_096
+BOOKS_PER_SLICE = 128
+KEEP_MOST = 1_024  # sources with more to keep have no bar but the floor
 SCORE_DIGITS = 6  # resolution of single precision; removes the noise of summation order
+SLACK = 1e-6  # of a bound, above rounding
+SCORED = "source_id bigint, id bigint, score double, work string"
 
 
 def source_postings(sources: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -23,129 +34,147 @@ def source_postings(sources: DataFrame, vectors: DataFrame) -> DataFrame:
         F.col("id").alias("source_id"), F.inline("vec")).withColumnRenamed("w", "source_w")
 
 
-def with_blocked(books: DataFrame, blockers: DataFrame | None, profile: str) -> DataFrame:
-    """Adds ``blocked``: the sources for which a book counts as a duplicate.
-
-    ``blockers`` are ``(source_id, author_key, title_key)`` works; they are grouped by
-    author and broadcast, so each book is tested against works of its own author only.
-    """
-    none = F.array().cast("array<bigint>")
-    if blockers is None:
-        return books.select("*", none.alias("blocked"))
-    by_author = blockers.select(
-        "author_key", F.struct("source_id", title_form(F.col("title_key"), profile).alias("form")).alias("work")
-    ).groupBy("author_key").agg(F.collect_list("work").alias("works"))
-    matched = books.join(F.broadcast(by_author), "author_key", "left").select(
-        "*", title_form(F.col("title_key"), profile).alias("_form"))
-    blocked = F.transform(
-        F.filter("works", lambda b: same_title(b["form"], F.col("_form"), profile)), lambda b: b["source_id"])
-    return matched.select("*", F.coalesce(blocked, none).alias("blocked")).drop("works", "_form")
-
-
-def _kernel(postings, keep: int | None, floor: float):
-    """Scoring of Arrow batches of books against one pass of sources.
-
-    ``postings`` is a broadcast ``(source_ids, column, idx, weight)`` of the sources'
-    vectors. With ``keep``, a score below the ``keep`` best this task has already seen for
-    its source is not emitted: it cannot be among the best ``keep`` overall.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source_ids, column, idx, weight = postings.value
-        dense = np.zeros((int(idx.max()) + 2, len(source_ids)))
-        dense[idx, column] = weight
-        best = None if keep is None else np.zeros((keep, len(source_ids)))
-        for batch in batches:
-            for start in range(0, batch.num_rows, BOOKS_PER_BLOCK):
-                part = batch.slice(start, BOOKS_PER_BLOCK)
-                ids = part.column("id").to_numpy()
-                block = np.round(_block_scores(part, dense), SCORE_DIGITS)
-                block[ids[:, None] == source_ids[None, :]] = 0.0
-                _clear_blocked(block, part.column("blocked"), source_ids)
-                bar = np.full(len(source_ids), floor)
-                if best is not None:
-                    bar = np.maximum(bar, best[0])
-                    stacked = np.concatenate([best, block])
-                    best = np.partition(stacked, len(stacked) - keep, axis=0)[len(stacked) - keep:]
-                book, source = np.nonzero((block > 0) & (block >= bar))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(source_ids[source]), pa.array(ids[book]), pa.array(block[book, source])],
-                    names=["source_id", "id", "score"])
+class _Vectors:
+    """Vectors of an Arrow table as one run of terms and weights."""
+
+    def __init__(self, table: pa.Table) -> None:
+        column = table["vec"].combine_chunks()
+        offsets, values = column.offsets.to_numpy(), column.flatten()
+        self.bounds = offsets - offsets[0]
+        self.idx, self.w = values.field("idx").to_numpy(), values.field("w").to_numpy()
+
+    def row(self, i: int) -> slice:
+        return slice(self.bounds[i], self.bounds[i + 1])
+
+
+def _by_head(vectors: _Vectors) -> np.ndarray:
+    """Rows in the order of their heaviest terms, so that a slice has few terms of large weight."""
+    heads = [int(vectors.idx[r][vectors.w[r].argmax()]) if r.stop > r.start else -1
+             for r in map(vectors.row, range(len(vectors.bounds) - 1))]
+    return np.argsort(heads, kind="stable")
+
+
+def _kernel(keep: bool):
+    """Scores of a block of books and a group of sources ``(source_id, vec, bar, most, home)``. Sources of
+    which ``home`` says so had this block before. With ``keep``, a source emits only what can be among
+    the ``most`` best of the block."""
+    def run(sources: pa.Table, books: pa.Table) -> pa.Table:
+        out_source, out_book, out_score = [], [], []
+        if sources.num_rows and books.num_rows:
+            asked, held = _Vectors(sources), _Vectors(books)
+            ids, source_ids = books["id"].to_numpy(), sources["source_id"].to_numpy()
+            terms, place = np.unique(asked.idx, return_inverse=True)
+            dense = np.zeros((len(terms), len(source_ids)))
+            dense[place, np.repeat(np.arange(len(source_ids)), np.diff(asked.bounds))] = asked.w
+            bars, most = sources["bar"].to_numpy().copy(), sources["most"].to_numpy()
+            bars[sources["home"].to_numpy(zero_copy_only=False)] = np.inf
+            best = [np.empty(0)] * len(source_ids)
+            order = _by_head(held)
+            for first in range(0, len(order), BOOKS_PER_SLICE):
+                rows = order[first:first + BOOKS_PER_SLICE]
+                at = np.concatenate([np.arange(held.bounds[r], held.bounds[r + 1]) for r in rows])
+                of_row = np.repeat(np.arange(len(rows)), held.bounds[rows + 1] - held.bounds[rows])
+                spot = np.searchsorted(terms, held.idx[at])
+                known = (spot < len(terms)) & (terms[np.minimum(spot, len(terms) - 1)] == held.idx[at])
+                spot, w, of_row = spot[known], held.w[at][known], of_row[known]
+                peak = np.zeros(len(terms))
+                np.maximum.at(peak, spot, w)
+                live = np.flatnonzero(peak @ dense + SLACK >= bars)
+                if not len(live):
+                    continue
+                part, starts = dense[:, live], np.searchsorted(of_row, np.arange(len(rows) + 1))
+                block = np.zeros((len(rows), len(live)))
+                for r in range(len(rows)):
+                    block[r] = w[starts[r]:starts[r + 1]] @ part[spot[starts[r]:starts[r + 1]]]
+                block = np.round(block, SCORE_DIGITS)
+                block[ids[rows][:, None] == source_ids[live][None, :]] = 0.0
+                book, source = np.nonzero((block > 0) & (block >= bars[live]))
+                out_book.append(rows[book])
+                out_source.append(live[source])
+                out_score.append(block[book, source])
+                if keep:
+                    for s in np.unique(source):
+                        n = most[live[s]]
+                        scores = np.concatenate([best[live[s]], block[book[source == s], s]])
+                        if n <= KEEP_MOST and len(scores) >= n:
+                            scores = np.partition(scores, len(scores) - n)[len(scores) - n:]
+                            bars[live[s]] = max(bars[live[s]], scores.min())
+                        best[live[s]] = scores if n <= KEEP_MOST else np.empty(0)
+            if out_book:
+                book, source, score = (np.concatenate(x) for x in (out_book, out_source, out_score))
+                kept = score >= bars[source] if keep else slice(None)
+                return pa.table({"source_id": pa.array(source_ids[source][kept]), "id": pa.array(ids[book][kept]),
+                                 "score": pa.array(score[kept]), "work": books["work"].take(pa.array(book[kept]))})
+        return pa.table({"source_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()),
+                         "score": pa.array([], pa.float64()), "work": pa.array([], pa.string())})
 
     return run
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Offsets, starting at zero, and the values of a list column."""
-    offsets = lists.offsets.to_numpy()
-    return offsets - offsets[0], lists.flatten()
-
-
-def _block_scores(part: pa.RecordBatch, dense: np.ndarray) -> np.ndarray:
-    offsets, values = _flat(part.column("vec"))
-    idx, w = values.field("idx").to_numpy(), values.field("w").to_numpy()
-    idx = np.minimum(idx, len(dense) - 1)  # terms no source has meet the last, empty row
-    block = np.empty((part.num_rows, dense.shape[1]))
-    for row in range(part.num_rows):
-        of_book = slice(offsets[row], offsets[row + 1])
-        block[row] = w[of_book] @ dense[idx[of_book]]
-    return block
+def _dealt(books: DataFrame) -> tuple[DataFrame, int]:
+    """Books with their ``block``, and the number of blocks. The table of heads has at most one row per
+    term of the vocabulary, whose size is a parameter."""
+    heads = books.groupBy("head").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = materialise(heads.select(
+        "head", F.floor(before / BOOKS_PER_BLOCK).cast("int").alias("start"),
+        F.ceil(F.col("n") / BOOKS_PER_BLOCK).cast("int").alias("pieces")), "heads")
+    n_blocks = table.agg(F.max(F.col("start") + F.col("pieces"))).first()[0] or 0
+    block = F.col("start") + F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+    return books.join(F.broadcast(table), "head").withColumn("block", block).drop("start", "pieces"), n_blocks
 
 
-def _clear_blocked(block: np.ndarray, blocked: pa.Array, source_ids: np.ndarray) -> None:
-    offsets, values = _flat(blocked)
-    values = values.to_numpy()
-    if not len(values):
-        return
-    rows = np.repeat(np.arange(len(block)), np.diff(offsets))
-    at = np.minimum(np.searchsorted(source_ids, values), len(source_ids) - 1)
-    hit = source_ids[at] == values
-    block[rows[hit], at[hit]] = 0.0
-
-
-def _score_pass(postings: DataFrame, blockers: DataFrame | None, books: DataFrame, profile: str,
-                keep: int | None, floor: float) -> DataFrame | None:
-    """Scores of one pass: a map over the books, without a shuffle.
-
-    The postings of a pass are bounded by ``scores``; they are fetched and broadcast.
-    """
-    rows = postings.toArrow()
-    if not rows.num_rows:
-        return None
-    of_source = rows.column("source_id").to_numpy()
-    source_ids, column = np.unique(of_source, return_inverse=True)
-    context = postings.sparkSession.sparkContext
-    shared = context.broadcast((source_ids, column, rows.column("idx").to_numpy(),
-                                rows.column("source_w").to_numpy()))
-    ready = with_blocked(books, blockers, profile).select("id", "vec", "blocked")
-    return ready.mapInArrow(_kernel(shared, keep, floor), "source_id bigint, id bigint, score double")
+def _asked(sources: DataFrame, vectors: DataFrame, keep: int | None, floor: float, blocked: DataFrame | None,
+           books: DataFrame) -> DataFrame:
+    """``(source_id, head, vec, bar, most)`` of the sources; ``most`` counts the books that will go as duplicates."""
+    wanted = sources.select(F.col("source_id").alias("id")).distinct()
+    out = vectors.join(small(wanted), "id", "left_semi").select(
+        F.col("id").alias("source_id"), "head", "vec", F.lit(floor).alias("bar"), F.lit(keep or 0).cast("bigint").alias("most"))
+    if keep is None or blocked is None:
+        return out
+    sizes = books.groupBy("work").agg(F.count("*").alias("n"))
+    gone = blocked.join(sizes, "work").groupBy("source_id").agg(F.sum("n").alias("gone"))
+    return out.join(gone, "source_id", "left").withColumn("most", F.col("most") + F.coalesce("gone", F.lit(0))).drop("gone")
 
 
 def scores(sources: DataFrame, vectors: DataFrame, profile: str, blockers: DataFrame | None = None,
            floor: float | None = None, among: DataFrame | None = None, keep: int | None = None) -> DataFrame:
     """``(source_id, id, score)`` with positive scores, at least ``floor``.
 
-    The source itself and, with ``blockers``, its duplicates are left out. ``among``
-    restricts the scored books; by default all of ``vectors`` are scored. ``keep`` allows
-    rows outside the best ``keep`` of a source to be left out early; ``top`` still has to
-    pick the best. ``sources`` and ``blockers`` are (written) request-side tables; beyond
-    the broadcast bound they are worked off in several passes over the books, which gives
-    the same rows.
+    The source itself and, with ``blockers`` ``(source_id, author_key, title_key)``, every duplicate of
+    those works are left out. ``among`` restricts the scored books; by default all of ``vectors`` are
+    scored. ``keep`` allows rows outside the best ``keep`` of a source to be left out early; ``top`` still
+    has to pick the best.
     """
-    postings = materialise(source_postings(sources, vectors), "source_postings")
-    rows, n_sources = postings.agg(F.count("*"), F.count_distinct("source_id")).first()
-    if blockers is not None:
-        rows = max(rows, blockers.count())
-    n_passes = max(pass_count(rows), pass_count(n_sources, SOURCES_PER_PASS))
-    books = vectors if among is None else among
-    parts = []
-    for k in range(n_passes):
-        part_blockers = None if blockers is None else in_pass(blockers, "source_id", n_passes, k)
-        parts.append(_score_pass(in_pass(postings, "source_id", n_passes, k), part_blockers, books,
-                                 profile, keep, floor or 0.0))
-    parts = [p for p in parts if p is not None]
-    if not parts:
+    books = (vectors if among is None else among).withColumn("work", work_key(F.col("author_key"), F.col("title_key")))
+    blocked = None if blockers is None else materialise(blocked_works(blockers, books, profile), "blocked")
+    asked = materialise(_asked(sources, vectors, keep, floor or 0.0, blocked, books), "asked")
+    n = asked.agg(F.count("*")).first()[0]
+    dealt, n_blocks = _dealt(books.select("id", "head", "vec", "work"))
+    if not n or not n_blocks:
         return vectors.select(F.col("id").alias("source_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    return union_all(parts)
+
+    def scored(questions: DataFrame, most: int) -> DataFrame:
+        """``questions`` carry their ``block``; at most ``most`` of them meet one."""
+        groups, key = -(-most // SOURCES_PER_PASS), ["block", "part"]
+        held = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        parted = questions.withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(groups)).cast("int"))
+        out = parted.select(*key, "source_id", "vec", "bar", "most", "home").groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(
+            _kernel(keep is not None), SCORED)
+        return out if blocked is None else out.join(blocked, ["source_id", "work"], "left_anti")
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    if keep is None or n_blocks == 1:
+        return scored(asked.select("*", every.alias("block"), F.lit(False).alias("home")), n).drop("work")
+    homes = dealt.select(F.col("id").alias("source_id"), F.col("block").alias("own"))
+    asked = materialise(asked.join(homes, "source_id", "left").withColumn("own", F.coalesce("own", F.lit(-1))), "asked_at_home")
+    at_home = asked.where("own >= 0").select("*", F.col("own").alias("block"), F.lit(False).alias("home"))
+    crowd = at_home.groupBy("block").count().agg(F.max("count")).first()[0] or 1
+    first = materialise(top(scored(at_home, crowd), keep).drop("rank", "work"), "at_home")
+    bars = first.groupBy("source_id").agg(F.min("score").alias("least"), F.count("*").alias("got")).where(F.col("got") >= keep)
+    raised = asked.join(bars, "source_id", "left").withColumn("bar", F.greatest("bar", F.coalesce("least", "bar")))
+    rest = scored(raised.select("*", every.alias("block")).withColumn("home", F.col("block") == F.col("own")), n)
+    return first.unionByName(rest.drop("work"))
 
 
 def best_first():

@@ -72,7 +72,7 @@ def vocabulary(stats: DataFrame, books: DataFrame, params: ModelParams) -> DataF
 
 
 def vectors(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFrame:
-    """``(id, vec)`` with ``vec`` an array of ``(idx, w)`` of unit length.
+    """``(id, vec, head)`` with ``vec`` an array of ``(idx, w)`` of unit length and ``head`` its heaviest term.
 
     Only occurrences of vocabulary terms are shuffled, once, by id; counting, weighting
     and normalising all reuse that partitioning. Books without a term have no row.
@@ -90,7 +90,7 @@ def vectors(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFr
     )
     return rows.select("id", F.transform(
         "raw", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / F.col("norm")).alias("w"))
-    ).alias("vec"))
+    ).alias("vec"), F.array_max(F.transform("raw", lambda x: F.struct(x["w"], x["idx"])))["idx"].alias("head"))
 
 
 def postings(doc_vectors: DataFrame, vocab: DataFrame) -> DataFrame:

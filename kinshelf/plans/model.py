@@ -18,7 +18,7 @@ class Model:
     """The tables every job reads.
 
     ``vectors`` holds one row per book that has a term:
-    ``(id, title_key, author_key, vec)``.
+    ``(id, vec, head, title_key, author_key)``.
     """
 
     catalogue: DataFrame

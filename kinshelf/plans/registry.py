@@ -10,7 +10,7 @@ from kinshelf.functions import display as shown
 from kinshelf.functions.display import search_record
 from kinshelf.functions import screening, text, titles, validation
 from kinshelf.functions.stop_words import ENGLISH
-from kinshelf.operators import admission, lookup, ranking, reports, scoring, search, tfidf
+from kinshelf.operators import admission, duplicates, lookup, ranking, reports, scoring, search, tfidf
 from kinshelf.params import DEFAULT_THRESHOLD, ModelParams, REQUEST_HISTORY, DEFAULT_MODEL
 from kinshelf.plans import recommend as jobs
 from kinshelf.plans.model import Model
@@ -470,14 +470,17 @@ def set_union_ngrams(spark, folder):
 
 @query
 def set_word_overlap(spark, folder):
-    """Shared title words of every book and the book twenty ids before it, of the same shelf."""
+    """All pairs of different books of one author that share enough words of their titles."""
     keys = jobs.book_keys(_catalogue(spark, folder))
-    words = keys.select("id", titles.title_words(titles.plain_title(F.col("title_key"))).alias("words"))
-    other = words.select((F.col("id") + 20).alias("id"), F.col("words").alias("others"))
-    common = F.size(F.array_intersect("words", "others"))
-    enough = (common >= 2) & ((common / F.size("words") > 0.7) | (common / F.size("others") > 0.7))
-    return words.join(other, "id").select(
-        "id", F.size("words").cast("bigint").alias("words"), common.cast("bigint").alias("common"), enough.alias("same"))
+    formed = keys.select(F.col("id").alias("work"), "author_key", titles.title_words(titles.plain_title(F.col("title_key"))).alias("words"))
+    formed = materialise(formed, "formed")
+    pairs = duplicates.overlapping(formed, formed).where(F.col("left") < F.col("right"))
+    words = formed.select(F.col("work"), "words")
+    both = pairs.join(words.select(F.col("work").alias("left"), F.col("words").alias("a")), "left").join(
+        words.select(F.col("work").alias("right"), F.col("words").alias("b")), "right")
+    return both.select(F.col("left").alias("id"), F.col("right").alias("other_id"), F.size("a").cast("bigint").alias("words"),
+                       F.size("b").cast("bigint").alias("other_words"),
+                       duplicates.shared_words(F.col("a"), F.col("b")).cast("bigint").alias("common"))
 
 
 @query
@@ -581,8 +584,9 @@ def _duplicates(spark, folder, profile):
     books = jobs.book_keys(catalogue)
     sources = catalogue.select("id").join(_labelled(spark, folder).distinct(), "id", "left_semi").select(
         F.col("id").alias("source_id"))
-    blocked = scoring.with_blocked(books, _own(sources, books), profile)
-    return blocked.select("id", F.size("blocked").cast("bigint").alias("duplicate_of"))
+    blocked = duplicates.blocked_works(_own(sources, books), books, profile).groupBy("work").agg(F.count("*").alias("n"))
+    work = duplicates.work_key(F.col("author_key"), F.col("title_key"))
+    return books.withColumn("work", work).join(blocked, "work", "left").select("id", F.coalesce("n", F.lit(0)).alias("duplicate_of"))
 
 
 @query
@@ -679,7 +683,9 @@ def job_recommend_simple(spark, folder):
 
 @query
 def job_neighbours(spark, folder):
-    return jobs.neighbours(_labelled(spark, folder), model_of(spark, folder), SHOWN_HITS, DEFAULT_THRESHOLD)
+    """The neighbours of every book of the catalogue."""
+    model = model_of(spark, folder)
+    return jobs.neighbours(model.catalogue.select("id"), model, SHOWN_HITS, DEFAULT_THRESHOLD)
 
 
 @query
