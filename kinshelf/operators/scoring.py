@@ -27,11 +27,14 @@ SLACK = 1e-6  # of a bound, above rounding
 SCORED = "source_id bigint, id bigint, score double, work string"
 
 
-def source_postings(sources: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(source_id, idx, source_w)`` of the source books."""
+def posting_products(sources: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(source_id, id, numerator, terms)``: for sources and other books of the same author, the sum of
+    the products of their weights over the terms they share, by a join of postings on (author, term)."""
+    postings = vectors.select("id", "author_key", F.inline("vec"))
     wanted = sources.select(F.col("source_id").alias("id")).distinct()
-    return vectors.join(small(wanted), "id", "left_semi").select(
-        F.col("id").alias("source_id"), F.inline("vec")).withColumnRenamed("w", "source_w")
+    asked = postings.join(small(wanted), "id", "left_semi").select(F.col("id").alias("source_id"), "author_key", "idx", F.col("w").alias("source_w"))
+    return asked.join(postings, ["author_key", "idx"]).where(F.col("id") != F.col("source_id")).groupBy("source_id", "id").agg(
+        F.sum(F.col("w") * F.col("source_w")).alias("numerator"), F.count("*").alias("terms"))
 
 
 class _Vectors:

@@ -71,23 +71,33 @@ def vocabulary(stats: DataFrame, books: DataFrame, params: ModelParams) -> DataF
     return top.select(numbered.alias("idx"), "term", "df", "ctf", idf(n_books, F.col("df")).alias("idf"))
 
 
-def vectors(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFrame:
-    """``(id, vec, head)`` with ``vec`` an array of ``(idx, w)`` of unit length and ``head`` its heaviest term.
-
-    Only occurrences of vocabulary terms are shuffled, once, by id; counting, weighting
-    and normalising all reuse that partitioning. Books without a term have no row.
-    """
+def _weights(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFrame:
+    """``(id, idx, w)``: counts times idf, partitioned by id; the only shuffle is of vocabulary terms."""
     lookup = vocab.select("term", "idx", "idf")
     if max_features <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
     hits = exploded(documents).join(lookup, "term")
     counts = hits.select("id", "idx", "idf").repartition("id").groupBy("id", "idx", "idf").agg(
         F.count("*").alias("tf"))
-    weighted = counts.select("id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
-    rows = weighted.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("raw"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-    )
+    return counts.select("id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def _norm() -> Column:
+    return F.sqrt(F.sum(F.col("w") * F.col("w")))
+
+
+def norms(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFrame:
+    """``(id, terms, norm)`` of the weights as they are, for books with a term."""
+    return _weights(documents, vocab, max_features).groupBy("id").agg(F.count("*").alias("terms"), _norm().alias("norm"))
+
+
+def vectors(documents: DataFrame, vocab: DataFrame, max_features: int) -> DataFrame:
+    """``(id, vec, head)`` with ``vec`` an array of ``(idx, w)`` of unit length and ``head`` its heaviest term.
+
+    Counting, weighting and normalising reuse one partitioning by id. Books without a term have no row.
+    """
+    rows = _weights(documents, vocab, max_features).groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("raw"), _norm().alias("norm"))
     return rows.select("id", F.transform(
         "raw", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / F.col("norm")).alias("w"))
     ).alias("vec"), F.array_max(F.transform("raw", lambda x: F.struct(x["w"], x["idx"])))["idx"].alias("head"))

@@ -46,8 +46,8 @@ def snapshot_root(spark: SparkSession) -> str:
 
 def model_of(spark: SparkSession, folder: str, params: ModelParams = DEFAULT_MODEL) -> Model:
     """The model of the catalogue, over whole descriptions; built once per state of the data."""
-    tables = fixtures.views(spark, folder)
-    return snapshots.load_or_build(tables, cat.load_catalogue(tables), params, snapshot_root(spark))
+    catalogue = cat.load_catalogue(fixtures.views(spark, folder))
+    return snapshots.load_or_build(fixtures.sources(spark, folder), catalogue, params, snapshot_root(spark))
 
 
 def _labelled(spark, folder):
@@ -93,10 +93,10 @@ def src_catalogue_parts(spark, folder):
 
 @query
 def snk_snapshot(spark, folder):
-    tables = fixtures.views(spark, folder)
+    catalogue, given = _catalogue(spark, folder), fixtures.sources(spark, folder)
     root = fresh_path(spark, "snapshots")
-    snapshots.reload(tables, cat.load_catalogue(tables), DEFAULT_MODEL, root)
-    key = snapshots.key_for(tables, DEFAULT_MODEL)
+    snapshots.reload(given, catalogue, DEFAULT_MODEL, root)
+    key = snapshots.key_for(given, DEFAULT_MODEL, root)
     found = snapshots.load(spark, root, key, DEFAULT_MODEL)
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("artefact"), "n")
               for name, df in found.tables().items()]
@@ -226,11 +226,11 @@ def join_fanout_star(spark, folder):
 
 @query
 def join_postings(spark, folder):
+    """The join of source and catalogue postings on the term, summed: the numerators of all scores that
+    the labelled books have with books of their own author."""
     model = model_of(spark, folder)
-    sources = scoring.source_postings(_labelled_sources(spark, folder, model), model.vectors)
-    books = model.vectors.select(F.inline("vec")).groupBy("idx").agg(F.count("*").alias("books"))
-    return sources.groupBy("idx").agg(F.count("*").alias("sources")).join(books, "idx").join(
-        model.vocab, "idx").select("term", "sources", "books")
+    return scoring.posting_products(_labelled_sources(spark, folder, model), model.vectors).select(
+        "source_id", "id", F.round("numerator", 6).alias("numerator"), "terms")
 
 
 @query
@@ -320,9 +320,10 @@ def agg_vocab_prune(spark, folder):
 
 @query
 def agg_l2_norm(spark, folder):
+    """The norm of each book's weights before they are divided by it."""
     model = model_of(spark, folder)
-    squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    return model.vectors.select("id", F.size("vec").cast("bigint").alias("terms"), F.round(squares, 6).alias("norm"))
+    norms = tfidf.norms(_documents(spark, folder), model.vocab, DEFAULT_MODEL.max_features)
+    return norms.select("id", "terms", F.round("norm", 6).alias("norm"))
 
 
 @query
@@ -705,10 +706,10 @@ def job_find_title(spark, folder):
 
 @query
 def job_reload(spark, folder):
-    tables = fixtures.views(spark, folder)
+    catalogue, given = _catalogue(spark, folder), fixtures.sources(spark, folder)
     root = fresh_path(spark, "snapshots")
-    snapshots.load_or_build(tables, cat.load_catalogue(tables), DEFAULT_MODEL, root)
-    model = snapshots.reload(tables, cat.load_catalogue(tables), DEFAULT_MODEL, root)
+    snapshots.load_or_build(given, catalogue, DEFAULT_MODEL, root)
+    model = snapshots.reload(given, catalogue, DEFAULT_MODEL, root)
     return snapshots.model_stats(model)
 
 

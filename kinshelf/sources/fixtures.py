@@ -125,6 +125,12 @@ def views(spark: SparkSession, folder: str, names=CATALOGUE_TABLES) -> dict[str,
     return {name: view(spark, folder, name) for name in names}
 
 
+def sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The given tables that the catalogue views are made from."""
+    names = sorted({table for view_name in CATALOGUE_TABLES for table in INPUTS[view_name]})
+    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+
+
 def part_catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """A second catalogue at volume: parts as books, order lines as links.
 

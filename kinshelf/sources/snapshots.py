@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from kinshelf.functions.text import stop_words
 from kinshelf.params import ModelParams, SNAPSHOT_TTL_HOURS
 from kinshelf.plans.model import Model, build_model
+from kinshelf.sources.digests import state_digest
 from kinshelf.sources.tables import live
 
 MANIFEST_SCHEMA = "snapshot_key string, path string, artefacts array<string>, created_at timestamp"
@@ -40,18 +41,10 @@ def snapshot_key(data_key: Column, config: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("_", data_key, config)), 1, 12)
 
 
-def content_hash(table: DataFrame) -> DataFrame:
-    """One row: count and order-free hash of all rows, so that any change of content shows."""
-    rows = F.xxhash64(*[F.col(c) for c in table.columns]).cast("decimal(38,0)")
-    return table.agg(F.concat_ws("_", F.count("*").cast("string"), F.coalesce(F.sum(rows), F.lit(0)).cast("string")).alias("content"))
-
-
-def key_for(tables: dict[str, DataFrame], params: ModelParams) -> str:
-    """Key of a state of all source tables and the parameters."""
-    contents = [content_hash(tables[name]).scalar() for name in sorted(tables)]
-    fingerprint = data_fingerprint(tables["books_with_details"])
-    data = F.concat_ws("_", F.col("data_key"), *contents)
-    return fingerprint.select(snapshot_key(data, F.lit(config_hash(params)))).first()[0]
+def key_for(tables: dict[str, DataFrame], params: ModelParams, root: str | None = None) -> str:
+    """Key of a state of all source tables and the parameters. Under ``root``, files are hashed once."""
+    state = state_digest(tables, root)
+    return hashlib.md5(f"{state}_{config_hash(params)}".encode()).hexdigest()[:12]
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -109,16 +102,17 @@ def load(spark: SparkSession, root: str, key: str, params: ModelParams, as_of: C
 
 
 def load_or_build(tables: dict[str, DataFrame], catalogue: DataFrame, params: ModelParams, root: str) -> Model:
-    """Use the snapshot of the present data and parameters, or build it."""
+    """Use the snapshot of the present data and parameters, or build it. ``tables`` are what the
+    catalogue is made from; where they are files, a state seen before is known by its listing."""
     spark = catalogue.sparkSession
-    key = key_for(tables, params)
+    key = key_for(tables, params, root)
     return load(spark, root, key, params) or save(
         lambda write: build_model(catalogue, params, write), spark, root, key)
 
 
 def reload(tables: dict[str, DataFrame], catalogue: DataFrame, params: ModelParams, root: str) -> Model:
     """Build anew and let the new snapshot replace the old ones of its key, which go."""
-    spark, key = catalogue.sparkSession, key_for(tables, params)
+    spark, key = catalogue.sparkSession, key_for(tables, params, root)
     manifest = read_manifest(spark, root)
     old = [] if manifest is None else [
         r["path"] for r in manifest.where(F.col("snapshot_key") == key).select("path").distinct().collect()]
