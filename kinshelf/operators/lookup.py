@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from kinshelf.functions.titles import either_contains, title_key
 from kinshelf.operators.containment import haystacks_around_needles, needles_in_haystacks
+from kinshelf.operators.gram_index import GramIndex
 from kinshelf.session import materialise, small, union_all
 
 
@@ -43,22 +47,71 @@ def scan_matches(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     return union_all(found).groupBy("scan_key").agg(F.min("id").alias("source_id"))
 
 
-def resolve(requests: DataFrame, titles: DataFrame, catalogue: DataFrame | None) -> DataFrame:
+@dataclass
+class TitleIndex:
+    """Stored grams of the titles: ``texts`` is ``(id, lower_title, title_key)``, the first id of each
+    spelling in lower case; ``grams`` is the index of ``lower_title``, anchored in ``title_key``."""
+
+    texts: DataFrame
+    grams: GramIndex
+    anchors: GramIndex
+
+    @staticmethod
+    def title_texts(catalogue: DataFrame) -> DataFrame:
+        spelled = catalogue.groupBy(F.lower("title").alias("lower_title")).agg(F.min("id").alias("id"))
+        return spelled.select("id", "lower_title", title_key(F.col("lower_title")).alias("title_key"))
+
+    @classmethod
+    def build(cls, catalogue: DataFrame, path: str) -> TitleIndex:
+        spark = catalogue.sparkSession
+        cls.title_texts(catalogue).write.parquet(f"{path}/texts")
+        texts = spark.read.parquet(f"{path}/texts")
+        GramIndex.build(texts.select("id", F.col("lower_title").alias("text")), f"{path}/grams")
+        keys = texts.groupBy("title_key").agg(F.min("id").alias("id"))
+        GramIndex.build(keys.select("id", F.col("title_key").alias("text")), f"{path}/anchors")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TitleIndex:
+        texts = spark.read.schema("id bigint, lower_title string, title_key string").parquet(f"{path}/texts")
+        return cls(texts, GramIndex.open(spark, f"{path}/grams"), GramIndex.open(spark, f"{path}/anchors"))
+
+    def containment_matches(self, queries: DataFrame, titles: DataFrame) -> DataFrame:
+        """As ``containment_matches``, from stored grams."""
+        keys = materialise(queries.select("key").distinct(), "asked_keys")
+        full = keys.where(F.col("key") != "")
+        met = self.grams.around(full, "key").unionByName(self.anchors.within(full, "key")).distinct()
+        pairs = met.join(self.texts, "id").where(either_contains(F.col("title_key"), F.col("key"))).select("key", "title_key").distinct()
+        first = F.min(F.struct("first_id", "last_id"))
+        found = pairs.join(titles, "title_key").groupBy("key").agg(first.alias("best"))
+        blank = titles.agg(first.alias("best")).where(F.col("best").isNotNull()).select(F.lit("").alias("key"), "best")
+        return found.unionByName(keys.where(F.col("key") == "").join(blank, "key")).select("key", F.col("best.last_id").alias("source_id"))
+
+    def scan_matches(self, queries: DataFrame) -> DataFrame:
+        """As ``scan_matches``, from stored grams."""
+        keys = materialise(queries.select("scan_key").distinct(), "asked_scans")
+        met = self.grams.around(keys.where(F.col("scan_key") != ""), "scan_key").distinct()
+        found = met.join(self.texts, "id").where(F.contains("lower_title", "scan_key")).groupBy("scan_key").agg(F.min("id").alias("source_id"))
+        blank = self.texts.agg(F.min("id").alias("source_id")).where(F.col("source_id").isNotNull()).select(F.lit("").alias("scan_key"), "source_id")
+        return found.unionByName(keys.where(F.col("scan_key") == "").join(blank, "scan_key"))
+
+
+def resolve(requests: DataFrame, titles: DataFrame, catalogue: DataFrame | None, index: TitleIndex | None = None) -> DataFrame:
     """``(request_id, source_id, stage)`` for ``(request_id, key, scan_key)``; no row if not found.
 
     Equal queries are resolved once. Each stage only sees what the stages before it left.
-    Without ``catalogue`` the third stage is skipped.
+    Without ``catalogue`` the third stage is skipped. With an ``index``, no grams of titles are made.
     """
     queries = requests.select("key", "scan_key").distinct()
     exact = materialise(exact_matches(queries.select("key").distinct(), titles), "exact")
     rest = queries.join(exact, "key", "left_anti")
-    near = materialise(containment_matches(rest, titles), "near")
+    near = materialise(index.containment_matches(rest, titles) if index else containment_matches(rest, titles), "near")
     by_key = exact.select("key", "source_id", F.lit(1).alias("stage")).unionByName(
         near.select("key", "source_id", F.lit(2).alias("stage")))
     found = requests.join(by_key, "key").select("request_id", "source_id", "stage")
     if catalogue is None:
         return found
     last = rest.join(near, "key", "left_anti")
-    scanned = scan_matches(last, catalogue).select("scan_key", "source_id", F.lit(3).alias("stage"))
+    scanned = (index.scan_matches(last) if index else scan_matches(last, catalogue)).select("scan_key", "source_id", F.lit(3).alias("stage"))
     late = requests.join(last, ["key", "scan_key"]).join(scanned, "scan_key")
     return found.unionByName(late.select("request_id", "source_id", "stage"))

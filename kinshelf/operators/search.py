@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kinshelf.functions.display import display
 from kinshelf.functions.titles import title_key
 from kinshelf.operators.containment import needles_in_haystacks
+from kinshelf.operators.gram_index import GramIndex
 from kinshelf.session import materialise, union_all
 
 FIELDS = ("title", "authors", "description", "categories")
@@ -22,8 +23,14 @@ def searchable(catalogue: DataFrame) -> DataFrame:
     return lowered.select("*", F.concat_ws(BETWEEN, *FIELDS).alias("all_fields"))
 
 
-def search_hits(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+def text_grams(catalogue: DataFrame, path: str) -> GramIndex:
+    """The stored index of all four fields."""
+    return GramIndex.build(searchable(catalogue).select("id", F.col("all_fields").alias("text")), path)
+
+
+def search_hits(requests: DataFrame, catalogue: DataFrame, index: GramIndex | None = None) -> DataFrame:
     """``(request_id, hit, id)``: per request ``(request_id, term, hits)`` the first hits by id.
+    With an ``index``, no grams of the catalogue are made.
 
     A blank term finds nothing. A request for no hit or fewer still gets one, as in the
     service being matched, whose check follows the append.
@@ -39,11 +46,16 @@ def search_hits(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
         return tests[0] | tests[1] | tests[2] | tests[3]
 
     by_id = Window.partitionBy("key").orderBy("id")
+    if index is None:
+        met = needles_in_haystacks(keys, "key", "key", searchable(catalogue), "all_fields", in_a_field)
+    else:
+        pairs = index.around(keys.select("key"), "key").distinct().join(keys, "key")
+        met = [pairs.join(searchable(catalogue).drop("all_fields"), "id").where(in_a_field())]
     passes = [
         # A pair met through several grams has one id and so one dense rank.
         pairs.select("key", "id").select("*", F.dense_rank().over(by_id).cast("bigint").alias("hit"))
         .where(F.col("hit") <= most).distinct()
-        for pairs in needles_in_haystacks(keys, "key", "key", searchable(catalogue), "all_fields", in_a_field)
+        for pairs in met
     ]
     if not passes:
         return asked.select("request_id", F.lit(0).cast("bigint").alias("hit"), F.lit(None).cast("bigint").alias("id")).limit(0)
@@ -51,7 +63,7 @@ def search_hits(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
         "request_id", "hit", "id")
 
 
-def search(requests: DataFrame, catalogue: DataFrame,
-           record: Callable[[DataFrame], DataFrame] = display) -> DataFrame:
+def search(requests: DataFrame, catalogue: DataFrame, record: Callable[[DataFrame], DataFrame] = display,
+           index: GramIndex | None = None) -> DataFrame:
     """Search results with their records, attached after the hits are cut down."""
-    return search_hits(requests, catalogue).join(record(catalogue), "id")
+    return search_hits(requests, catalogue, index).join(record(catalogue), "id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from kinshelf.functions.titles import author_key, title_key
 from kinshelf.operators import tfidf
+from kinshelf.operators.gram_index import GramIndex
+from kinshelf.operators.lookup import TitleIndex
+from kinshelf.operators.search import text_grams
 from kinshelf.params import ModelParams
 from kinshelf.session import materialise
 from kinshelf.sources.catalogue import titles_index
@@ -18,7 +21,8 @@ class Model:
     """The tables every job reads.
 
     ``vectors`` holds one row per book that has a term:
-    ``(id, vec, head, title_key, author_key)``.
+    ``(id, vec, head, title_key, author_key)``. A stored model has gram indexes of its titles and
+    of its texts.
     """
 
     catalogue: DataFrame
@@ -26,6 +30,8 @@ class Model:
     vectors: DataFrame
     titles: DataFrame
     params: ModelParams
+    title_index: TitleIndex | None = None
+    text_index: GramIndex | None = None
 
     TABLES = ("catalogue", "vocab", "vectors", "titles")
 
@@ -33,6 +39,18 @@ class Model:
         return {name: getattr(self, name) for name in self.TABLES}
 
 
+def build_indexes(model: Model, path: str) -> Model:
+    """Stores the gram indexes under ``path``."""
+    TitleIndex.build(model.catalogue, f"{path}/titles")
+    text_grams(model.catalogue, f"{path}/texts")
+    return with_indexes(model, path)
+
+
+def with_indexes(model: Model, path: str) -> Model:
+    spark = model.catalogue.sparkSession
+    return replace(model, title_index=TitleIndex.open(spark, f"{path}/titles"), text_index=GramIndex.open(spark, f"{path}/texts"))
+
+
 def build_model(catalogue: DataFrame, params: ModelParams, write=materialise) -> Model:
     """Build and write each table once. ``write(df, name)`` stores a table and reads it back."""
     catalogue = write(catalogue, "catalogue")

@@ -25,7 +25,7 @@ def find_titles(requests: DataFrame, model: Model) -> DataFrame:
     and the record of the book, nulls if there is none."""
     keyed = materialise(requests.select(
         "request_id", title_key(sanitise(F.col("title"))).alias("key"), F.lit("").alias("scan_key")), "keyed")
-    found = resolve(keyed, model.titles, None)
+    found = resolve(keyed, model.titles, None, model.title_index)
     met = F.col("source_id").isNotNull()
     # Fixed value: the message.
     message = F.when(~met, F.concat(F.lit("No book found matching '"), F.col("title"), F.lit("'")))
@@ -58,7 +58,7 @@ def resolved(requests: DataFrame, model: Model, profile: str) -> DataFrame:
     # Written here: every later stage reads plain columns instead of the validation chain.
     checked = materialise(checked.select("*", F.lower(query).alias("scan_key")), "checked")
     valid = checked.where(F.col("error").isNull())
-    found = resolve(valid.select("request_id", "key", "scan_key"), model.titles, model.catalogue)
+    found = resolve(valid.select("request_id", "key", "scan_key"), model.titles, model.catalogue, model.title_index)
     status = (F.when(F.col("error").isNotNull(), "invalid_input")
               .when(F.col("source_id").isNull(), "not_found").otherwise("ok"))
     joined = checked.drop("key", "scan_key").join(found.select("request_id", "source_id"), "request_id", "left")

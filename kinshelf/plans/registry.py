@@ -250,7 +250,7 @@ def _find_keys(spark, folder):
 def join_title_contains(spark, folder):
     model = model_of(spark, folder)
     keys = _find_keys(spark, folder)
-    found = lookup.containment_matches(keys, model.titles)
+    found = model.title_index.containment_matches(keys, model.titles)
     return keys.join(found, "key").select("request_id", "source_id")
 
 
@@ -259,7 +259,7 @@ def join_title_scan(spark, folder):
     model = model_of(spark, folder)
     checked = jobs.check_requests(_view(spark, folder, "rec_requests")).where(F.col("error").isNull())
     keys = materialise(checked.select("request_id", F.lower("query").alias("scan_key")), "scan_keys")
-    found = lookup.scan_matches(keys, model.catalogue)
+    found = model.title_index.scan_matches(keys)
     return keys.join(found, "scan_key").select("request_id", "source_id")
 
 
@@ -448,7 +448,8 @@ def srt_scores(spark, folder):
 
 @query
 def lim_search(spark, folder):
-    hits = search.search_hits(_view(spark, folder, "search_requests"), _catalogue(spark, folder))
+    model = model_of(spark, folder)
+    hits = search.search_hits(_view(spark, folder, "search_requests"), model.catalogue, model.text_index)
     return hits.groupBy("request_id").agg(F.count("*").alias("found"), F.max("id").alias("last_id"))
 
 
@@ -622,7 +623,8 @@ def fn_ellipsis(spark, folder):
 
 @query
 def fn_multi_contains(spark, folder):
-    return search.search_hits(_view(spark, folder, "search_requests"), _catalogue(spark, folder))
+    model = model_of(spark, folder)
+    return search.search_hits(_view(spark, folder, "search_requests"), model.catalogue, model.text_index)
 
 
 @query
@@ -691,12 +693,14 @@ def job_neighbours(spark, folder):
 
 @query
 def job_search(spark, folder):
-    return search.search(_view(spark, folder, "search_requests"), _catalogue(spark, folder))
+    model = model_of(spark, folder)
+    return search.search(_view(spark, folder, "search_requests"), model.catalogue, index=model.text_index)
 
 
 @query
 def job_search_full(spark, folder):
-    return search.search(_view(spark, folder, "search_requests"), _catalogue(spark, folder), search_record)
+    model = model_of(spark, folder)
+    return search.search(_view(spark, folder, "search_requests"), model.catalogue, search_record, model.text_index)
 
 
 @query

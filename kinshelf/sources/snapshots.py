@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 
 from kinshelf.functions.text import stop_words
 from kinshelf.params import ModelParams, SNAPSHOT_TTL_HOURS
-from kinshelf.plans.model import Model, build_model
+from kinshelf.plans.model import Model, build_indexes, build_model, with_indexes
 from kinshelf.sources.digests import state_digest
 from kinshelf.sources.tables import live
 
@@ -78,7 +78,7 @@ def save(build, spark: SparkSession, root: str, key: str) -> Model:
         df.write.parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    model = build(write)
+    model = build_indexes(build(write), f"{path}/index")
     row = spark.range(1).select(
         F.lit(key).alias("snapshot_key"), F.lit(path).alias("path"),
         F.array(*[F.lit(name) for name in Model.TABLES]).alias("artefacts"),
@@ -98,7 +98,7 @@ def load(spark: SparkSession, root: str, key: str, params: ModelParams, as_of: C
     row = found.agg(F.max_by("path", "created_at")).first()
     if row[0] is None:
         return None
-    return Model(*[spark.read.parquet(f"{row[0]}/{name}") for name in Model.TABLES], params)
+    return with_indexes(Model(*[spark.read.parquet(f"{row[0]}/{name}") for name in Model.TABLES], params), f"{row[0]}/index")
 
 
 def load_or_build(tables: dict[str, DataFrame], catalogue: DataFrame, params: ModelParams, root: str) -> Model:
