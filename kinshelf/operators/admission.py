@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinshelf.params import RATE_LIMIT_PER_MINUTE, RATE_WINDOW_SECONDS
-from kinshelf.session import materialise, runs_on_workers
+from kinshelf.session import materialise, runs_on_workers, small
 
 MICROS = 1_000_000
 WINDOWS_PER_SLICE = 60
+WINDOWS_PER_WALK = 16
 
 
 def _timed(requests: DataFrame) -> DataFrame:
@@ -68,24 +70,35 @@ def _chains(crowded: DataFrame, window: int) -> DataFrame:
         "client", "us", "request_id", F.coalesce("inside", "carried").alias("chain"))
 
 
-def _walk(limit: int, window: int):
-    """Streaming limiter over rows sorted by (client, chain, us, request_id).
+SLICE = ["client", "chain", "slice"]
+WALKED = "client {client}, chain bigint, slice bigint, request_id {request}, admitted boolean, state array<bigint>"
 
-    Between batches it keeps the times of at most ``limit`` admitted requests. While the
-    window is full it jumps to the first row after the oldest of them has left.
+
+def _walk(limit: int, window: int, slice_length: int):
+    """Streaming limiter over rows sorted by (client, chain, slice, kind, us, request_id).
+
+    A slice begins with a row of kind 0 that brings the times of the admitted requests before it, and
+    its last row out carries those that still count at its end. Between batches there are at most
+    ``limit`` times. While the window is full the walk jumps to the first row after the oldest has left.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, admitted = None, deque()
+
+        def ending() -> pd.DataFrame:
+            client, chain, number = current
+            kept = [int(t) for t in admitted if t >= (number + 1) * slice_length - window]
+            return pd.DataFrame({"client": [client], "chain": [chain], "slice": [number], "request_id": [None], "admitted": [None], "state": [kept]})
+
         for batch in batches:
-            if batch.empty:
-                continue
-            client, chain = batch["client"].to_numpy(), batch["chain"].to_numpy()
-            us = batch["us"].to_numpy()
-            cuts = np.flatnonzero((client[1:] != client[:-1]) | (chain[1:] != chain[:-1])) + 1
-            accepted = np.zeros(len(us), dtype=bool)
-            for begin, end in zip([0, *cuts], [*cuts, len(us)]):
-                if (client[begin], chain[begin]) != current:
-                    current, admitted = (client[begin], chain[begin]), deque()
+            heads = np.flatnonzero(batch["kind"].to_numpy() == 0)
+            us, accepted = batch["us"].to_numpy(), np.zeros(len(batch), dtype=bool)
+            for begin, end in pairwise([0, *heads[heads > 0], len(batch)]):
+                if end > begin and batch["kind"].iat[begin] == 0:
+                    if current is not None:
+                        yield ending()
+                    row = batch.iloc[begin]
+                    current, admitted = (row["client"], int(row["chain"]), int(row["slice"])), deque(row["state"])
+                    begin += 1
                 i = begin
                 while i < end:
                     while admitted and admitted[0] < us[i] - window:
@@ -96,11 +109,55 @@ def _walk(limit: int, window: int):
                         i += 1
                     else:
                         i = max(i + 1, begin + int(np.searchsorted(us[begin:end], admitted[0] + window, "right")))
-            yield pd.DataFrame({"request_id": batch["request_id"], "free": batch["free"], "admitted": accepted})
+            rows = batch["kind"].to_numpy() == 1
+            if rows.any():
+                out = batch.loc[rows, [*SLICE, "request_id"]]
+                yield out.assign(admitted=accepted[rows], state=None)
+        if current is not None:
+            yield ending()
 
     return run
 
 
+def _decided(busy: DataFrame, limit: int, window: int) -> DataFrame:
+    """``(request_id, admitted)`` of the runs ``(client, chain, request_id, us)``.
+
+    A run is cut into time slices that are walked at the same time. The first time each starts from
+    nothing, which is true of the first slice only; then every slice whose start is not what the slice
+    before it ended with is walked again from there. Walks from different starts soon meet, so
+    few slices go again and the rounds are few; where they never meet, the rounds walk the run in
+    order. The result is that of one walk either way.
+    """
+    length = window * WINDOWS_PER_WALK
+    busy = materialise(busy.withColumn("slice", F.floor(F.col("us") / length)), "busy")
+    before = F.lag("slice").over(Window.partitionBy("client", "chain").orderBy("slice"))
+    slices = materialise(busy.select(*SLICE).distinct().select(*SLICE, before.alias("previous")), "slices")
+    schema = WALKED.format(client=busy.schema["client"].dataType.simpleString(), request=busy.schema["request_id"].dataType.simpleString())
+    none = F.array().cast("array<bigint>")
+    todo, starts, walks, turn = slices.select(*SLICE, none.alias("state")), None, None, 0
+    while True:
+        begun = todo.select(*SLICE, "state", F.lit(turn).alias("turn"))
+        starts = begun if starts is None else materialise(starts.unionByName(begun), "starts")
+        heads = todo.select(*SLICE, F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("us"),
+                            F.lit(None).cast(busy.schema["request_id"].dataType).alias("request_id"), "state")
+        rows = busy.join(small(todo.select(*SLICE)), SLICE, "left_semi").select(
+            *SLICE, F.lit(1).alias("kind"), "us", "request_id", F.lit(None).cast("array<bigint>").alias("state"))
+        walk = heads.unionByName(rows).repartition(*SLICE).sortWithinPartitions(*SLICE, "kind", "us", "request_id").mapInPandas(
+            _walk(limit, window, length), schema)
+        walk = materialise(walk.withColumn("turn", F.lit(turn)), "walk")
+        walks = walk if walks is None else walks.unionByName(walk)
+        ends = walks.where(F.col("state").isNotNull()).groupBy(*SLICE).agg(F.max_by("state", "turn").alias("ended"))
+        held = starts.groupBy(*SLICE).agg(F.max_by("state", "turn").alias("started"))
+        expected = slices.where(F.col("previous").isNotNull()).join(
+            ends.withColumnRenamed("slice", "previous"), ["client", "chain", "previous"]).select(*SLICE, F.col("ended").alias("state"))
+        todo = materialise(expected.join(held, SLICE).where(F.col("state") != F.col("started")).select(*SLICE, "state"), "todo")
+        turn += 1
+        if todo.isEmpty():
+            break
+    last = starts.groupBy(*SLICE).agg(F.max("turn").alias("turn"))
+    return walks.where(F.col("state").isNull()).join(last, [*SLICE, "turn"]).select("request_id", "admitted")
+
+
 def rate_admission(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
                    window_seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
     """``(client, request_id, admitted)``: admitted iff fewer than ``limit`` admitted requests lie in
@@ -108,8 +165,8 @@ def rate_admission(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
 
     A request with at most ``limit`` requests in its window, itself included, is admitted
     whatever was decided before. Only runs of crowded requests, with the free ones their
-    windows reach back to, are walked in order, each run on its own. Rows of a run stream
-    through its task; they are never held as a group.
+    windows reach back to, are walked, each run in slices of its own. Rows stream through the
+    tasks; they are never held as a group.
     """
     window = window_seconds * MICROS
     rated = _trailing(_timed(requests.select("client", "request_id", "ts")), "us", window,
@@ -123,10 +180,8 @@ def rate_admission(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
     walked = materialise(_trailing(both, "back", window, next_chain=F.max("chain")).select(
         "client", "request_id", "us", "free", F.coalesce("chain", "next_chain").alias("chain")), "walked")
     calm = walked.where(F.col("chain").isNull()).select("request_id", F.lit(True).alias("admitted"))
-    busy = walked.where(F.col("chain").isNotNull()).repartition("client", "chain").sortWithinPartitions(
-        "client", "chain", "us", "request_id")
-    decided = busy.mapInPandas(_walk(limit, window), "request_id bigint, free boolean, admitted boolean")
-    return calm.unionByName(decided.select("request_id", "admitted"))
+    busy = walked.where(F.col("chain").isNotNull()).select("client", "chain", "request_id", "us")
+    return calm.unionByName(_decided(busy, limit, window))
 
 
 runs_on_workers(__name__)

@@ -132,3 +132,17 @@ def test_free_positions_equal_a_plain_walk(spark):
         got.setdefault(r["source_id"], []).append(r["pos"])
     for s, n in room:
         assert sorted(got.get(s, [])) == [p for p in range(1, 41) if (s, p) not in taken][:n]
+
+
+@pytest.mark.parametrize("windows", [1, 3, 16])
+def test_one_endless_run_is_walked_in_slices(spark, monkeypatch, windows):
+    from kinshelf.operators import admission
+    from test_jobs import limiter
+
+    monkeypatch.setattr(admission, "WINDOWS_PER_WALK", windows)
+    rng = random.Random(windows)
+    rows = [("endless", i, i * 4_000_000 + rng.randrange(3) * 1_000_000) for i in range(400)]
+    rows += [("even", 1_000 + i, i * 10_000_000) for i in range(120)] + [("calm", 2_000 + i, i * 90_000_000) for i in range(20)]
+    df = spark.createDataFrame(rows, "client string, request_id bigint, us bigint").withColumn("ts", F.timestamp_micros("us"))
+    got = {r.request_id: r.admitted for r in admission.rate_admission(df, 5, 60).collect()}
+    assert got == limiter(rows, 5, 60_000_000)
