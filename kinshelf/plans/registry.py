@@ -117,15 +117,17 @@ def snk_requests(spark, folder):
         F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"))
 
 
-def _request_stream(spark, folder):
+def _request_stream(spark, folder, times=1):
     path = fresh_path(spark, "stream_in")
-    _view(spark, folder, "requests").repartitionByRange(8, "ts").write.parquet(path)
+    for _ in range(times):
+        _view(spark, folder, "requests").repartitionByRange(8, "ts").write.mode("append").parquet(path)
     return request_log.stream_requests(spark, path)
 
 
 @query
 def src_requests_stream(spark, folder):
-    rows = streams.run_to_table(_request_stream(spark, folder), "stream_rows")
+    """The log with every file delivered twice: repeated requests add no rows."""
+    rows = streams.run_to_table(streams.unique_requests(_request_stream(spark, folder, 2)), "stream_rows")
     return rows.groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -756,10 +758,29 @@ def str_error_counts(spark, folder):
     return streams.run_to_table(streams.error_windows(_request_stream(spark, folder)), "errors")
 
 
+@query
+def str_perf_sliding(spark, folder):
+    """Sixty minutes sliding by one; the percentiles as whether their ranks are within the sketch's error."""
+    rows = streams.run_to_table(streams.performance_sliding(_request_stream(spark, folder)), "sliding")
+    timed = _view(spark, folder, "requests").select("ts", F.coalesce("duration_ms", F.lit(0.0)).alias("ms"))
+    every = F.expr("transform(sequence(0, 59), i -> date_trunc('minute', ts) - make_interval(0, 0, 0, 0, 0, i))")
+    of_window = timed.select("ms", F.explode(every).alias("window_start")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    both = rows.join(of_window, "window_start").groupBy(rows.columns).agg(
+        *[F.count_if(F.col("ms") < F.col(f"p{q}_response_time_ms")).alias(f"below{q}") for q in (95, 99)],
+        *[F.count_if(F.col("ms") <= F.col(f"p{q}_response_time_ms")).alias(f"upto{q}") for q in (95, 99)])
+    n, slack = F.col("requests_count"), streams.RANK_ERROR
+    within = [((F.col(f"below{q}") <= (q / 100 + slack) * n + 1) & (F.col(f"upto{q}") >= (q / 100 - slack) * n - 1)).alias(f"p{q}_within")
+              for q in (95, 99)]
+    return both.select("window_start", "window_end", "requests_count", "successful_requests", "cache_hits",
+                       *[F.round(c, 6).alias(c) for c in ("avg_response_time_ms", "min_response_time_ms", "max_response_time_ms",
+                                                          "success_rate", "cache_hit_rate", "requests_per_minute")], *within)
+
+
 @query
 def str_popular(spark, folder):
-    counts = streams.run_to_table(streams.title_windows(_request_stream(spark, folder)), "titles")
-    return streams.popular_windows(counts)
+    path = fresh_path(spark, "popular")
+    streams.popular_stream(_request_stream(spark, folder), path).awaitTermination()
+    return streams.kept_popular(spark, path)
 
 
 @query
@@ -768,6 +789,17 @@ def str_rate_admission(spark, folder):
         streams.admission_stream(_request_stream(spark, folder), 5, DAY_SECONDS), "admission")
 
 
+@query
+def str_admission_ordered(spark, folder):
+    """The live limiter over files of four days that arrive in a wrong order, one at a time: what the watermark has passed."""
+    path = fresh_path(spark, "stream_in")
+    rows = _view(spark, folder, "requests").withColumn("part", F.floor(F.dayofyear("ts") / 4) % 8)
+    for part in (1, 0, 3, 2, 5, 4, 7, 6):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    source = request_log.stream_requests(spark, path, 1)
+    return streams.run_to_table(streams.admission_ordered(source, 5, DAY_SECONDS, "10 days"), "ordered", streams.ROCKS)
+
+
 @query
 def str_recommend(spark, folder):
     model = model_of(spark, folder)

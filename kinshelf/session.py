@@ -44,6 +44,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    store, folder = _folder(spark, path)
+    store.delete(folder, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared store; none if it is not there."""
+    store, folder = _folder(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+
+
 def runs_on_workers(module: str) -> None:
     """Send the functions of a module to the Python workers by value, so that executors
     need no installed copy of this package."""

@@ -14,6 +14,7 @@ from kinshelf.functions.text import stop_words
 from kinshelf.params import ModelParams, SNAPSHOT_TTL_HOURS
 from kinshelf.plans.model import Model, build_indexes, build_model, with_indexes
 from kinshelf.sources.digests import state_digest
+from kinshelf.session import remove
 from kinshelf.sources.tables import live
 
 MANIFEST_SCHEMA = "snapshot_key string, path string, artefacts array<string>, created_at timestamp"
@@ -47,11 +48,6 @@ def key_for(tables: dict[str, DataFrame], params: ModelParams, root: str | None
     return hashlib.md5(f"{state}_{config_hash(params)}".encode()).hexdigest()[:12]
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def valid_snapshots(manifest: DataFrame, as_of: Column, ttl_hours: int = SNAPSHOT_TTL_HOURS,
                     expected: int = len(Model.TABLES)) -> DataFrame:
     """Complete snapshots younger than the time to live; the age must be strictly below it."""
@@ -118,7 +114,7 @@ def reload(tables: dict[str, DataFrame], catalogue: DataFrame, params: ModelPara
         r["path"] for r in manifest.where(F.col("snapshot_key") == key).select("path").distinct().collect()]
     model = save(lambda write: build_model(catalogue, params, write), spark, root, key)
     for path in old:
-        _drop(spark, path)
+        remove(spark, path)
     return model
 
 

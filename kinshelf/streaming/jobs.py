@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinshelf.params import RATE_LIMIT_PER_MINUTE, RATE_WINDOW_SECONDS
 from kinshelf.plans.model import Model
 from kinshelf.plans.recommend import recommend
-from kinshelf.session import fresh_path, runs_on_workers
+from kinshelf.session import folders, fresh_path, remove, runs_on_workers
 
 
 def _windowed(requests: DataFrame, size: str, slide: str | None, delay: str, keys=()):
@@ -48,6 +48,33 @@ def performance_windows(requests: DataFrame, size: str = "60 minutes", slide: st
         (n * 60 / (F.unix_timestamp("w.end") - F.unix_timestamp("w.start"))).alias("requests_per_minute"))
 
 
+SKETCH_K = 200  # of the quantile sketches: a normalised rank error of about 1.65 % at most
+RANK_ERROR = 0.0165
+
+
+def performance_sliding(requests: DataFrame, size: str = "60 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """Request statistics of a window that slides by ``slide``, each request aggregated once.
+
+    Requests become one state per slide: counts, sums and a mergeable quantile sketch. Windows merge
+    those states; a state, not a request, goes to every window it is in.
+    """
+    parts = _windowed(requests, slide, None, delay).agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "success").alias("good"), F.count_if("cache_hit").alias("hits"),
+        F.sum("duration_ms").alias("total"), F.min("duration_ms").alias("low"), F.max("duration_ms").alias("high"),
+        F.kll_sketch_agg_double(F.coalesce("duration_ms", F.lit(0.0)), SKETCH_K).alias("sketch"))
+    merged = parts.groupBy(F.window(F.window_time("w"), size, slide).alias("w")).agg(
+        F.sum("n").alias("requests_count"), F.sum("good").alias("successful_requests"), F.sum("hits").alias("cache_hits"),
+        F.sum("total").alias("total"), F.min("low").alias("min_response_time_ms"), F.max("high").alias("max_response_time_ms"),
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    n = F.col("requests_count")
+    return merged.select(
+        *_bounds(), "requests_count", "successful_requests", "cache_hits", (F.col("total") / n).alias("avg_response_time_ms"),
+        "min_response_time_ms", "max_response_time_ms",
+        *[F.kll_sketch_get_quantile_double("sketch", F.lit(q / 100)).alias(f"p{q}_response_time_ms") for q in (95, 99)],
+        (F.col("successful_requests") / n * 100).alias("success_rate"), (F.col("cache_hits") / n * 100).alias("cache_hit_rate"),
+        (n * 60 / (F.unix_timestamp("w.end") - F.unix_timestamp("w.start"))).alias("requests_per_minute"))
+
+
 def error_windows(requests: DataFrame, size: str = "60 minutes", delay: str = "10 minutes") -> DataFrame:
     counts = _windowed(requests.where(F.length("error_type") > 0), size, None, delay, ["error_type"]).agg(
         F.count("*").alias("errors"))
@@ -61,10 +88,54 @@ def title_windows(requests: DataFrame, size: str = "1 day", delay: str = "10 min
     return counts.select(*_bounds(), "book_title", "request_count", "first_seen")
 
 
-def popular_windows(counts: DataFrame, k: int = 10) -> DataFrame:
+def popular_windows(counts: DataFrame, k: int = 10, keep_first_seen: bool = False) -> DataFrame:
     """Top titles of closed windows; a batch operator for ``foreachBatch`` or a written table."""
     best = Window.partitionBy("window_start").orderBy(F.desc("request_count"), "first_seen", "book_title")
-    return counts.select("*", F.row_number().over(best).cast("bigint").alias("rank")).where(F.col("rank") <= k).drop("first_seen")
+    ranked = counts.select("*", F.row_number().over(best).cast("bigint").alias("rank")).where(F.col("rank") <= k)
+    return ranked if keep_first_seen else ranked.drop("first_seen")
+
+
+def merge_popular(path: str, batch: DataFrame, epoch: int, k: int = 10) -> None:
+    """Merge the closed windows of one epoch into the kept top titles.
+
+    An epoch writes its own folder, from the folder of the last epoch before it and its batch. Running an
+    epoch again reads and writes the same folders, so it changes nothing; a reader takes the newest.
+    """
+    spark = batch.sparkSession
+    before = [e for e in _epochs(spark, path) if e < epoch]
+    counts = batch.select("window_start", "window_end", "book_title", "request_count", "first_seen")
+    if before:
+        counts = counts.unionByName(spark.read.schema(counts.schema).parquet(f"{path}/epoch={max(before)}"))
+    best = popular_windows(counts.dropDuplicates(["window_start", "book_title"]), k, keep_first_seen=True)
+    best.drop("rank").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    for old in sorted(before)[:-1]:
+        remove(spark, f"{path}/epoch={old}")
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epochs whose folder is complete, by their names."""
+    return sorted(int(name.partition("=")[2]) for name in folders(spark, path)
+                  if name.startswith("epoch=") and "_SUCCESS" in folders(spark, f"{path}/{name}"))
+
+
+def popular_stream(requests: DataFrame, path: str, k: int = 10, delay: str = "10 minutes") -> StreamingQuery:
+    """Keep the top titles of every closed day under ``path``; ``kept_popular`` reads them."""
+    return title_windows(requests, delay=delay).writeStream.foreachBatch(
+        lambda batch, epoch: merge_popular(f"{path}/top", batch, epoch, k)).option(
+        "checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+
+def kept_popular(spark: SparkSession, path: str, k: int = 10) -> DataFrame:
+    """The top titles as of the newest complete epoch."""
+    newest = max(_epochs(spark, f"{path}/top"))
+    return popular_windows(spark.read.parquet(f"{path}/top/epoch={newest}"), k)
+
+
+def unique_requests(requests: DataFrame, delay: str = "10 minutes", keep_for: str | None = None) -> DataFrame:
+    """The stream without repeated request ids. An id is remembered until the watermark is ``delay`` past
+    it, or ``keep_for`` where replays come later than late rows do; the state does not grow with time."""
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", keep_for or delay)
+    return timed.dropDuplicatesWithinWatermark(["request_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def admission_stream(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
@@ -91,6 +162,71 @@ def admission_stream(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE,
         "append", GroupStateTimeout.NoTimeout)
 
 
+class _Limiter(StatefulProcessor):
+    """One client of the ordered limiter: rows waiting for the watermark, and the admitted times in the window."""
+
+    def __init__(self, limit: int, window: int) -> None:
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, request_id bigint")
+        self.kept = handle.getListState("kept", "us bigint")
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1_000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        """Rows wait; one timer, at the earliest of them, decides."""
+        fresh = [(r["us"], r["request_id"]) for r in rows]
+        for row in fresh:
+            self.waiting.appendValue(row)
+        if fresh:
+            self._wake(min(fresh)[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Decides what the watermark has passed, in order. A client without waiting rows and without
+        admitted times in the window is forgotten."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1_000
+        waiting = sorted((w[0], w[1]) for w in self.waiting.get())
+        kept, out = [k[0] for k in self.kept.get()], []
+        ready = [w for w in waiting if w[0] < passed]
+        for us, request_id in ready:
+            kept = [t for t in kept if t >= us - self.window]
+            out.append(Row(client=key[0], request_id=request_id, admitted=len(kept) < self.limit))
+            if out[-1]["admitted"]:
+                kept.append(us)
+        left, kept = waiting[len(ready):], [t for t in kept if t >= passed - self.window]
+        for state, rows in ((self.waiting, left), (self.kept, [(t,) for t in kept])):
+            state.clear()
+            if rows:
+                state.put(rows)
+        if left:
+            self._wake(left[0][0])
+        elif kept:
+            self._wake(kept[-1] + self.window)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def admission_ordered(requests: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE, window_seconds: int = RATE_WINDOW_SECONDS,
+                      delay: str = "10 minutes") -> DataFrame:
+    """The live rate limiter for rows that arrive out of order by at most ``delay``.
+
+    Rows wait in the state of their client until the watermark has passed them and are then decided in
+    the order of time and request id, so the answer is that of the batch. Later rows are dropped. The
+    state of a client is its waiting rows and at most ``limit`` times; timers forget idle clients. Needs
+    the ``ROCKS`` state store.
+    """
+    timed = requests.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay).select(
+        "client", "request_id", "at", F.unix_micros("at").alias("us"))
+    return timed.groupBy("client").transformWithState(
+        _Limiter(limit, window_seconds * 1_000_000), "client string, request_id bigint, admitted boolean", "append", "EventTime")
+
+
 def recommend_stream(requests: DataFrame, model: Model, sink: Callable[[DataFrame, int], None],
                      checkpoint: str) -> StreamingQuery:
     """Answer a stream of title requests from a static model, batch by batch."""
@@ -101,13 +237,22 @@ def recommend_stream(requests: DataFrame, model: Model, sink: Callable[[DataFram
         availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Drain what the source holds now into a table in the work folder and read it back."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, label: str, store: str | None = None) -> DataFrame:
+    """Drain what the source holds now into a table in the work folder and read it back. ``store``
+    names the state store of this query."""
     spark = stream.sparkSession
     path = fresh_path(spark, label)
+    before = spark.conf.get(STORE)
+    if store:
+        spark.conf.set(STORE, store)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option(
         "checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
