@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections import deque
 
+import numpy as np
+
 from llm.common import runs_on_workers
 
 ALPHA = 0.05
 LITERAL = 4  # leading characters that stay as they are
-LONGEST = 64  # characters of a sample string that enter the prefix tree
+LONG = 512  # characters of a token that is scored by itself
 
 
 def symbol(c: str) -> str:
@@ -31,10 +33,11 @@ class Automaton:
     def __init__(self, strings: list[str], alpha: float = ALPHA) -> None:
         self.visits, self.ends, self.next, self.taken = [0], [0], [{}], [{}]
         for text in strings:
-            self._add(symbols(text[:LONGEST]))
+            self._add(symbols(text))
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
         self.size = max(2, len({s for n in self.next for s in n}))
+        self.tables: _Tables | None = None
 
     def _add(self, sequence: list[str]) -> None:
         state = 0
@@ -106,6 +109,66 @@ class Automaton:
             state = self.next[state].get(s, state)
         return total
 
+    def log_likelihoods(self, tokens: list[str]) -> np.ndarray:
+        if self.tables is None:
+            self.tables = _Tables(self)
+        return in_steps(tokens, self.log_likelihood, self.tables.scores)
+
+
+class _Tables:
+    """An automaton's states that can be reached, as arrays over the bytes of a token."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        reached, stack = {0: 0}, [0]
+        while stack:
+            for to in automaton.next[stack.pop()].values():
+                if to not in reached:
+                    reached[to] = len(reached)
+                    stack.append(to)
+        names = sorted({s for state in reached for s in automaton.next[state]})
+        place = {s: i for i, s in enumerate(names)}
+        self.go = np.tile(np.arange(len(reached))[:, None], (1, len(names) + 1))
+        self.logs = np.empty(self.go.shape)
+        for state, row in reached.items():
+            taken, total = automaton.taken[state], automaton.visits[state] + 0.1 * (automaton.size + 2)
+            self.logs[row] = math.log(0.1 / total)
+            for s, to in automaton.next[state].items():
+                self.go[row, place[s]] = reached[to]
+            for s, n in taken.items():
+                self.logs[row, place[s]] = math.log((n + 0.1) / total)
+        unknown = len(names)
+        self.literal = np.array([place.get(chr(b), unknown) for b in range(128)])
+        self.classed = np.array([place.get(symbol(chr(b)), unknown) for b in range(128)])
+
+    def scores(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        state, total = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for at in range(rows.shape[1]):
+            live = np.flatnonzero(sizes > at)
+            code = (self.literal if at < LITERAL else self.classed)[rows[live, at]]
+            total[live] += self.logs[state[live], code]
+            state[live] = self.go[state[live], code]
+        return total
+
+
+def _matrix(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of ASCII tokens as rows, padded, and their lengths."""
+    sizes = np.array([len(t) for t in tokens])
+    rows = np.zeros((len(tokens), int(sizes.max())), np.uint8)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = np.frombuffer("".join(tokens).encode(), np.uint8)
+    return rows, sizes
+
+
+def in_steps(tokens: list[str], one, many) -> np.ndarray:
+    """Scores of tokens: ASCII ones of usual length together, others by themselves."""
+    usual = [i for i, t in enumerate(tokens) if len(t) <= LONG and t.isascii()]
+    out = np.array([0.0] * len(tokens))
+    for first in range(0, len(usual), 8_192):
+        some = usual[first:first + 8_192]
+        out[some] = many(*_matrix([tokens[i] for i in some]))
+    for i in set(range(len(tokens))) - set(usual):
+        out[i] = one(tokens[i])
+    return out
+
 
 class Background:
     """Frequencies of symbols in ordinary tokens. Pairs are not used: in a rare context a
@@ -114,12 +177,17 @@ class Background:
     def __init__(self, strings: list[str]) -> None:
         self.seen: dict[str, int] = {}
         for text in strings:
-            for c in text[:LONGEST]:
+            for c in text:
                 self.seen[symbol(c)] = self.seen.get(symbol(c), 0) + 1
         self.total = sum(self.seen.values())
 
     def log_likelihood(self, text: str) -> float:
         return sum(math.log((self.seen.get(symbol(c), 0) + 0.5) / (self.total + 6.0)) for c in text)
 
+    def log_likelihoods(self, tokens: list[str]) -> np.ndarray:
+        logs = np.array([math.log((self.seen.get(symbol(chr(b)), 0) + 0.5) / (self.total + 6.0)) for b in range(128)])
+        return in_steps(tokens, self.log_likelihood, lambda rows, sizes: np.where(
+            np.arange(rows.shape[1]) < sizes[:, None], logs[rows], 0.0).sum(1))
+
 
 runs_on_workers(__name__)

@@ -2,7 +2,7 @@
 
 The fixed patterns (assignments, access keys, hex runs) give the base spans. Their values,
 labelled by kind, are the sample for grammar inference: a prefix tree per kind whose
-statistically compatible states are merged. Every other long token of a text is scored by
+statistically compatible states are merged. Every other token that is as long as the shortest of them is scored by
 the automata against the ordinary tokens of the corpus; what fits a credential's format far
 better is a span of kind ``format``. The sample is bounded; scanning is one map.
 """
@@ -23,8 +23,9 @@ from llm.words import chunks, word_bounds
 
 KINDS = ["assign", "access", "hex"]
 ALL_KINDS = [*KINDS, "format"]
-SAMPLE = 1_500  # bound of the sample strings of each kind, and of the ordinary tokens
-LEAST_TOKEN = 16
+SAMPLE = 1_500  # bounds of the sample strings of each kind, and of the ordinary tokens
+SAMPLE_CHARS = 100_000
+SAMPLE_PARTS = 64
 MARGIN = 12.0  # nats by which a format has to beat the ordinary tokens
 
 # The patterns and lengths of the base kinds.
@@ -32,6 +33,7 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEYWORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 LEAST = {"assign": 12, "access": 18, "hex": 16}
+LEAST_TOKEN = min(LEAST.values())
 TOKEN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 
 
@@ -89,11 +91,11 @@ class Scan:
         for row in range(n):
             if self.tokens[row] and self.base[row]:
                 self.tokens[row] = [t for t in self.tokens[row]
-                                    if not any(s < t[1] and t[0] < e for _, s, e, _ in self.base[row])]
+                                    if not any(s <= t[0] and t[1] <= e for _, s, e, _ in self.base[row])]
 
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values of each kind, and one ordinary token of each text."""
+    """Values of each kind, and the ordinary tokens."""
     for batch in batches:
         kinds, values = [], []
         for first, _, data, offsets in chunks(batch.column(0)):
@@ -101,9 +103,8 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for base, tokens in zip(scan.base, scan.tokens):
                 kinds += [b[0] for b in base]
                 values += [b[3] for b in base]
-                if tokens:
-                    kinds.append("ordinary")
-                    values.append(tokens[0][2])
+                kinds += ["ordinary"] * len(tokens)
+                values += [t[2] for t in tokens]
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
 
@@ -112,18 +113,29 @@ class Formats:
         self.automata = [Automaton(samples[k]) for k in KINDS if samples.get(k)]
         self.background = Background(samples.get("ordinary", []))
 
-    def margin(self, token: str) -> float:
-        if not self.automata:
-            return float("-inf")
-        return max(a.log_likelihood(token) for a in self.automata) - self.background.log_likelihood(token)
+    def margins(self, tokens: list[str]) -> np.ndarray:
+        """How much likelier each token is as a credential, in nats."""
+        if not self.automata or not tokens:
+            return np.full(len(tokens), -np.inf)
+        best = np.max([a.log_likelihoods(tokens) for a in self.automata], axis=0)
+        return best - self.background.log_likelihoods(tokens)
 
 
 def learn(docs: DataFrame, most: int = SAMPLE) -> Formats:
-    """Automata from at most ``most`` distinct values of each kind, taken by hash."""
-    values = docs.select(text_or_empty().alias("text")).mapInArrow(_sampler, "kind string, value string")
-    short = values.select("kind", F.substring("value", 1, 64).alias("value")).distinct()
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    picked = short.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    """Automata from at most ``most`` distinct values of each kind, whole, and after the first at most
+    ``SAMPLE_CHARS`` characters of them, taken by hash. Hashed parts of a kind are cut first."""
+    values = docs.select(text_or_empty().alias("text")).mapInArrow(_sampler, "kind string, value string").distinct()
+    values = values.withColumn("part", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(SAMPLE_PARTS)))
+    order = [F.xxhash64("value"), F.col("value")]
+    held = F.sum(F.length("value"))
+
+    def cut(rows: DataFrame, *by: str) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(*order)
+        sized = rows.withColumn("place", F.row_number().over(window)).where(F.col("place") <= most)
+        return sized.withColumn("held", held.over(window.rowsBetween(Window.unboundedPreceding, 0))).where(
+            (F.col("held") <= SAMPLE_CHARS) | (F.col("place") == 1)).drop("place", "held")
+
+    picked = cut(cut(values, "kind", "part"), "kind")
     samples: dict[str, list[str]] = {}
     for row in picked.orderBy("kind", "value").collect():
         samples.setdefault(row["kind"], []).append(row["value"])
@@ -136,9 +148,11 @@ def _scanner(formats: Formats):
             rows: list[list[Span]] = []
             for first, _, data, offsets in chunks(batch.column(1)):
                 scan = Scan(batch.column(1), first, data, offsets)
+                distinct = sorted({v for tokens in scan.tokens for _, _, v in tokens}, key=len)
+                fits = {v for v, m in zip(distinct, formats.margins(distinct)) if m >= MARGIN}
                 for base, tokens in zip(scan.base, scan.tokens):
                     rows.append([(k, s, e, True) for k, s, e, _ in base]
-                                + [("format", s, e, False) for s, e, v in tokens if formats.margin(v) >= MARGIN])
+                                + [("format", s, e, False) for s, e, v in tokens if v in fits])
             yield pa.RecordBatch.from_arrays([batch.column(0), span_lists(rows, ALL_KINDS)], names=["doc_id", "spans"])
 
     return run
@@ -148,8 +162,8 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
     """``(doc_id, spans)``, one row per row of ``docs``.
 
     Spans are in code points. Base spans are the leftmost, non-overlapping matches of their
-    kind that are long enough; spans of kind ``format`` do not overlap a base span. Null and
-    empty texts have none. Spans of different kinds may overlap and are all given. Repeated
+    kind that are long enough; spans of kind ``format`` are not part of a base span, but may have one
+    in them. Null and empty texts have none. Spans of different kinds may overlap and are all given. Repeated
     rows are scanned alike; an empty table gives no rows; other columns are ignored.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
