@@ -22,6 +22,7 @@ MOST_SLICES = 1_000
 # Headers of a stored response that a 304 answer never changes.
 KEPT_HEADERS = ["content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag",
                 "transfer-encoding", "connection", "trailer", "upgrade", "keep-alive", "te"]
+NOT_MODIFIED = "server-not-modified"
 TRACKING = r"(^|&)utm_[^&=]*(=[^&]*)?"
 
 
@@ -59,10 +60,11 @@ def parse_records(blocks: DataFrame) -> DataFrame:
                           header_lines(F.col("http_head")).alias("http"), "payload")
     parsed = lines.select("record_id", headers_of(F.col("warc")).alias("w"), "status", headers_of(F.col("http")).alias("headers"),
                           "payload")
-    kind = F.when((F.col("w")["warc-type"] == "revisit") & (F.col("status") == "304"), "revisit").when(
+    unmodified = (F.col("status") == "304") | (F.col("status") == "") & F.coalesce(F.col("w")["warc-profile"], F.lit("")).contains(NOT_MODIFIED)
+    kind = F.when((F.col("w")["warc-type"] == "revisit") & unmodified, "revisit").when(
         (F.col("w")["warc-type"] == "response") & (F.col("status") == "200"), "response")
     return parsed.select("record_id", F.col("w")["warc-target-uri"].alias("url"),
-                         F.unix_timestamp(F.try_to_timestamp(F.col("w")["warc-date"], F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("captured_at"),
+                         F.try_to_timestamp(F.col("w")["warc-date"], F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]'Z'")).cast("double").alias("captured_at"),
                          kind.alias("kind"), "headers", "payload")
 
 
@@ -89,7 +91,7 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS, most_slic
     gives no rows.
     """
     heads = records.where(F.col("kind").isin("response", "revisit")).select(
-        "record_id", canonical_url(F.col("url")).alias("url_key"), F.col("captured_at").cast("bigint").alias("captured_at"),
+        "record_id", canonical_url(F.col("url")).alias("url_key"), F.round(F.col("captured_at").cast("double") * 1_000_000).try_cast("bigint").alias("captured_at"),
         "kind", "headers")
     heads = materialise(heads, "captures")
     sliced = _sliced(heads.where("url_key is not null and captured_at is not null"), slice_rows, most_slices)
