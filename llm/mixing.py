@@ -114,7 +114,8 @@ def _rounder(level: int):
     def run(group: pa.Table) -> pa.Table:
         rows = group.sort_by([("size", "descending"), ("draw", "ascending"), ("doc_id", "ascending")])  # the last one left is small
         size = rows["size"].to_numpy()
-        ids = rows["doc_id"].cast(pa.int64()).fill_null(-1).to_numpy()
+        named = rows["doc_id"] if pa.types.is_integer(rows.schema.field("doc_id").type) else rows["draw"]
+        ids = named.cast(pa.int64()).fill_null(-1).to_numpy()
         p = pivot(rows["fraction"].to_numpy(), size, _draws(ids, size, level))
         return rows.set_column(rows.column_names.index("fraction"), "fraction", pa.array(p, pa.float64()))
 
@@ -163,7 +164,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """The mix itself: every row of ``docs``, with all columns, as often as it is taken."""
+    """The mix itself: every row of ``docs``, with all columns, as often as it is taken.
+
+    Null ids and sources are values like others; rows of no words are never multiplied beyond what
+    ``mix`` says. Rows alike in id, source and size share their copies evenly, in the order of the hash
+    of the whole row, so reruns agree. An empty table gives no rows."""
     key = F.struct("doc_id", "source", word_count().alias("size"))
     plan = mix(docs, weights, most).groupBy(F.struct("doc_id", "source", "size").alias("_key")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
@@ -172,7 +177,7 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
     if plan.where("_rows > 1").isEmpty():
         rows = rows.join(plan.where("_copies > 0"), "_key").withColumn("_n", F.col("_copies"))
     else:  # rows that look alike share their copies evenly
-        place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+        place = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))
         upto = lambda i: F.floor(i * F.col("_copies") / F.col("_rows"))
         rows = rows.join(plan, "_key").withColumn("_place", place).withColumn(
             "_n", upto(F.col("_place")) - upto(F.col("_place") - 1)).where("_n > 0")
