@@ -63,14 +63,17 @@ class GramIndex:
 
     postings: DataFrame
     counts: DataFrame
-    anchors: DataFrame
+    anchors: DataFrame | None
 
     @classmethod
-    def build(cls, texts: DataFrame, path: str, buckets: int = BUCKETS) -> GramIndex:
+    def build(cls, texts: DataFrame, path: str, buckets: int = BUCKETS, anchored: bool = True) -> GramIndex:
+        """Stores the tables; without ``anchored`` only what ``around`` needs."""
         spark, id_type = texts.sparkSession, texts.schema["id"].dataType.simpleString()
         _store(_rows(texts.where(F.col("text").isNotNull()), grams(padded(F.col("text"))), "id"), f"{path}/postings", buckets)
         stored = _table(spark, f"{path}/postings", id_type, buckets)
         stored.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
+        if not anchored:
+            return cls.open(spark, path, id_type, buckets, anchored)
         whole = ~F.col("gram").contains(PAD)
         rare = stored.where(whole).join(spark.read.parquet(f"{path}/counts"), "gram").groupBy("id").agg(
             F.min(F.struct("n", "gram"))["gram"].alias("gram"))
@@ -79,9 +82,9 @@ class GramIndex:
         return cls.open(spark, path, id_type, buckets)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int = BUCKETS) -> GramIndex:
+    def open(cls, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int = BUCKETS, anchored: bool = True) -> GramIndex:
         return cls(_table(spark, f"{path}/postings", id_type, buckets), spark.read.schema("gram string, n bigint").parquet(f"{path}/counts"),
-                   _table(spark, f"{path}/anchors", id_type, buckets))
+                   _table(spark, f"{path}/anchors", id_type, buckets) if anchored else None)
 
     def around(self, needles: DataFrame, needle: str) -> DataFrame:
         """``(needle, id)`` of texts that may contain a needle of ``needles``, which are distinct and not

@@ -66,7 +66,7 @@ class TitleIndex:
         spark = catalogue.sparkSession
         cls.title_texts(catalogue).write.parquet(f"{path}/texts")
         texts = spark.read.parquet(f"{path}/texts")
-        GramIndex.build(texts.select("id", F.col("lower_title").alias("text")), f"{path}/grams")
+        GramIndex.build(texts.select("id", F.col("lower_title").alias("text")), f"{path}/grams", anchored=False)
         keys = texts.groupBy("title_key").agg(F.min("id").alias("id"))
         GramIndex.build(keys.select("id", F.col("title_key").alias("text")), f"{path}/anchors")
         return cls.open(spark, path)
@@ -74,7 +74,7 @@ class TitleIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> TitleIndex:
         texts = spark.read.schema("id bigint, lower_title string, title_key string").parquet(f"{path}/texts")
-        return cls(texts, GramIndex.open(spark, f"{path}/grams"), GramIndex.open(spark, f"{path}/anchors"))
+        return cls(texts, GramIndex.open(spark, f"{path}/grams", anchored=False), GramIndex.open(spark, f"{path}/anchors"))
 
     def containment_matches(self, queries: DataFrame, titles: DataFrame) -> DataFrame:
         """As ``containment_matches``, from stored grams."""

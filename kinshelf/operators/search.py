@@ -25,7 +25,7 @@ def searchable(catalogue: DataFrame) -> DataFrame:
 
 def text_grams(catalogue: DataFrame, path: str) -> GramIndex:
     """The stored index of all four fields."""
-    return GramIndex.build(searchable(catalogue).select("id", F.col("all_fields").alias("text")), path)
+    return GramIndex.build(searchable(catalogue).select("id", F.col("all_fields").alias("text")), path, anchored=False)
 
 
 def search_hits(requests: DataFrame, catalogue: DataFrame, index: GramIndex | None = None) -> DataFrame:

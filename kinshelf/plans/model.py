@@ -48,7 +48,7 @@ def build_indexes(model: Model, path: str) -> Model:
 
 def with_indexes(model: Model, path: str) -> Model:
     spark = model.catalogue.sparkSession
-    return replace(model, title_index=TitleIndex.open(spark, f"{path}/titles"), text_index=GramIndex.open(spark, f"{path}/texts"))
+    return replace(model, title_index=TitleIndex.open(spark, f"{path}/titles"), text_index=GramIndex.open(spark, f"{path}/texts", anchored=False))
 
 
 def build_model(catalogue: DataFrame, params: ModelParams, write=materialise) -> Model:

@@ -1,5 +1,6 @@
 """Physical plans, the entry point, and a sample of queries against their check SQL."""
 
+import inspect
 import os
 import shutil
 import subprocess
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from check_queries import compare, connect
 from conftest import SMALL
 import __spark_entry__ as entry
-from kinshelf.operators import reports
+from kinshelf.operators import reports, scoring
 from kinshelf.plans.registry import QUERIES
 from kinshelf.sources import fixtures
 
@@ -30,11 +31,11 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
-def test_top_k_is_cut_before_the_shuffle_and_scoring_does_not_shuffle_books(spark):
+def test_top_k_is_cut_before_the_shuffle_and_scoring_pairs_blocks_without_the_driver(spark):
     text = plan(spark, "job_neighbours")
-    assert "WindowGroupLimit" in text and "Partial" in text
-    below = text[text.index("MapInArrow"):]
-    assert "hashpartitioning(id" not in below
+    assert "WindowGroupLimit" in text and "Partial" in text and "FlatMapCoGroupsInArrow" in text
+    source = inspect.getsource(scoring)
+    assert "toArrow" not in source and "collect(" not in source and "sparkContext" not in source
 
 
 def test_filters_and_columns_reach_the_scan(spark):
