@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinshelf.session import materialise, runs_on_workers
 
-__all__ = ["bucket", "documents", "held_out", "materialise", "runs_on_workers", "table", "text_or_empty",
+__all__ = ["bounded_batches", "bucket", "documents", "held_out", "materialise", "runs_on_workers", "table", "text_or_empty",
            "word_count", "worker_cache"]
 
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -19,6 +20,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most so many rows and bytes, unless the session
+    asks for fewer. The settings are the session's and stay: what is built here runs later."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(f"spark.sql.execution.arrow.{name}") or "").rstrip("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 

@@ -2,12 +2,15 @@
 
 Terms are words and word beginnings, folded to lower case and hashed. The machine scores a
 text by linear weights and learned pairwise interactions of the terms present. It is learned
-from at most ``TRAIN_ROWS`` labelled rows. Term counts come from a distributed pass. The terms
-that tell most alone are fitted first; from there, sparse gradient steps go over all terms seen
-in ``LEAST_ROWS`` rows, so that terms that tell only in pairs take part. Every tenth row is held
-back and decides after how many of these passes the fit stops: it may be none, if more terms
-only fit chance, and then the machine has the first terms alone. Scoring is one map over the
-whole texts.
+from a bounded sample of labelled rows, over all terms that ``LEAST_ROWS`` of them have.
+
+The fit takes full steps over the sample, with a penalty that pulls most of what is not beyond chance
+to zero. A term in ``c`` rows has by chance a gradient of about ``sqrt(c p (1 - p)) / n``; its linear
+weight must beat that ``LINEAR_BEYOND`` times, its factors, with the factors they meet in place of 1,
+``FACTORS_BEYOND`` times. So a small sample keeps few terms instead of learning noise, and a term that
+tells nothing alone stays for its pairs. After ``FIRST_STEPS`` only terms that are not zero go on, and
+the last steps, with little penalty, give the kept terms their full weights. Scoring is one map over
+the whole texts.
 """
 
 from __future__ import annotations
@@ -18,21 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.common import held_out, runs_on_workers
+from llm.common import bounded_batches, held_out, runs_on_workers
 from llm.words import Hashes, byte_class, byte_values, chunks, word_bounds
 
-TRAIN_ROWS = 30_000  # bound of the labelled sample
+TRAIN_ROWS = 6_000  # bounds of the labelled sample
+TRAIN_CHARS = 16_000_000
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)  # bytes
-TERMS = 2_048  # fitted first
 LEAST_ROWS = 3
-LEAST_RATIO = 20.0  # of the terms fitted first; below it a term may well be chance, among so many
-FACTORS = 8
-EPOCHS = 30
-PATIENCE = 10  # passes over all terms without a better fit of the rows held back
-ROW_TERMS = 10  # rows with more terms take smaller steps
+FACTORS = 4
+FIRST_STEPS, STEPS, LAST_STEPS = 8, 50, 60
+RATE, FACTOR_RATE = 0.1, 0.03
+LINEAR_BEYOND, FACTORS_BEYOND = 3.5, 2.5
+LAST_PENALTY = 0.1
+BLOCK = 1 << 18  # occurrences of terms that a step holds at once
 THRESHOLD = 0.3
-RANGES = 16
 
 
 def term_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,52 +51,16 @@ def term_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(texts), (np.concatenate(terms) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with each bucket, by label, of a task: one record per range of buckets."""
-    counts = np.zeros((2, BUCKETS), np.int32)
-    for batch in batches:
-        label = batch.column(1).to_numpy()
-        for first, last, data, offsets in chunks(batch.column(0)):
-            text, term = term_rows(data, offsets)
-            for value in (0, 1):
-                mine = label[first:last][text] == value
-                pairs = np.unique(text[mine] * BUCKETS + term[mine]) % BUCKETS
-                counts[value] += np.bincount(pairs, minlength=BUCKETS).astype(np.int32)
-    if counts.any():
-        parts = counts.reshape(2, RANGES, -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(RANGES), pa.int64()), *[pa.array([p.tobytes() for p in parts[v]], pa.binary()) for v in (0, 1)]],
-            names=["range", "clean", "toxic"])
-
-
-def _counted(rows: tuple[int, int]):
-    """The buckets of a range that enough rows have, with the likelihood ratio of presence and label."""
-    def run(group: pa.Table) -> pa.Table:
-        clean, toxic = (sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in group[c]) for c in ("clean", "toxic"))
-        seen = np.flatnonzero(clean + toxic >= LEAST_ROWS)
-        ratio = likelihood_ratio(toxic[seen], clean[seen], rows[1], rows[0])
-        at = group["range"][0].as_py() * (BUCKETS // RANGES)
-        return pa.table({"term": pa.array(seen + at, pa.int64()), "ratio": pa.array(ratio, pa.float64())})
-
-    return run
-
-
-def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
-    total, out = n_a + n_b, 0.0
-    rate = (a + b) / max(total, 1)
-    for seen, n in ((a, n_a), (b, n_b)):
-        for count, p in ((seen, rate), (n - seen, 1 - rate)):
-            expected = np.maximum(n * p, 1e-12)
-            out = out + 2 * np.where(count > 0, count * np.log(np.maximum(count, 1e-12) / expected), 0.0)
-    return out
-
-
 class Machine:
     """Linear and pairwise weights of the kept terms."""
 
     def __init__(self, terms: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray) -> None:
         self.terms, self.bias, self.linear, self.factors = terms, bias, linear, factors
 
+    def without_zeros(self) -> Machine:
+        on = (self.linear != 0) | (self.factors != 0).any(1)
+        return Machine(self.terms[on], self.bias, self.linear[on], self.factors[on])
+
     def scores(self, text: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Probability of the label by text, from distinct ``(text, place of a kept term)``."""
         z = self.bias + np.bincount(text, self.linear[term], minlength=n)
@@ -103,109 +70,97 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+class Occurrences:
+    """Which terms which texts have, by text and by term."""
+
+    def __init__(self, text: np.ndarray, term: np.ndarray, n: int, m: int) -> None:
+        by_text, by_term = np.argsort(text, kind="stable"), np.argsort(term, kind="stable")
+        self.term, self.text = term[by_text].astype(np.int32), text[by_term].astype(np.int32)
+        self.text_starts = np.searchsorted(text[by_text], np.arange(n + 1))
+        self.term_starts = np.searchsorted(term[by_term], np.arange(m + 1))
+
+    @staticmethod
+    def _sums(values: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sums of the rows of ``values`` at the places of each run, in blocks of bounded size."""
+        out = np.zeros((len(starts) - 1, values.shape[1]), np.float32)
+        first = 0
+        while first < len(out):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK, side="right")) - 1)
+            full = first + np.flatnonzero(starts[first + 1:last + 1] > starts[first:last])
+            if len(full):
+                held = values[places[starts[first]:starts[last]]]
+                out[full] = np.add.reduceat(held, starts[full] - starts[first], axis=0)
+            first = last
+        return out
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        return self._sums(values, self.term, self.text_starts)
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        return self._sums(values, self.text, self.term_starts)
+
+
+class Moments:
+    """Running means of gradients and of their squares, one for each term's linear weight and one for
+    all its factors."""
+
+    def __init__(self, terms: int, factors: int) -> None:
+        self.mean, self.square, self.steps = np.zeros((terms, factors + 1), np.float32), np.zeros((terms, 2), np.float32), 0
+
+    def step(self, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The direction, and the step per unit of it."""
+        self.steps += 1
+        squares = np.stack([gradient[:, 0] ** 2, (gradient[:, 1:] ** 2).mean(1) if gradient.shape[1] > 1 else 0 * gradient[:, 0]], 1)
+        self.mean = 0.8 * self.mean + 0.2 * gradient
+        self.square = 0.95 * self.square + 0.05 * squares
+        return self.mean / (1 - 0.8**self.steps), 1 / (np.sqrt(self.square / (1 - 0.95**self.steps)) + 1e-5)
+
+    def keep(self, on: np.ndarray) -> None:
+        self.mean, self.square = self.mean[on], self.square[on]
+
+
 def fit(terms: np.ndarray, text: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = FACTORS,
-        epochs: int = EPOCHS, rate: float = 0.02, decay: float = 1e-4, batch: int = 512, seed: int = 1) -> Machine:
-    """Log loss by mini-batch gradient steps with running second moments."""
-    rng = np.random.default_rng(seed)
+        epochs: int = STEPS, rate: float = RATE, seed: int = 1) -> Machine:
+    """A machine from distinct ``(text, place of a term)`` and the labels of the texts."""
     n, m = len(label), len(terms)
     share = (label.sum() + 0.5) / (n + 1.0)
-    bias, linear, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.01, (m, factors))
-    moments = [0.0, np.zeros(m), np.zeros((m, factors))]
-    order = np.argsort(text, kind="stable")
-    text, term = text[order], term[order]
-    starts = np.searchsorted(text, np.arange(n + 1))
-    for _ in range(epochs):
-        shuffled = rng.permutation(n)
-        for at in range(0, n, batch):
-            rows = shuffled[at:at + batch]
-            x = np.zeros((len(rows), m))
-            sizes = starts[rows + 1] - starts[rows]
-            held = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in rows]) if len(rows) else np.empty(0, int)
-            x[np.repeat(np.arange(len(rows)), sizes), term[held]] = 1.0
-            s = x @ v
-            z = bias + x @ linear + 0.5 * ((s**2).sum(1) - (x @ (v**2)).sum(1))
-            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
-            xe = x.T @ error
-            steps = [error.sum(), xe + decay * linear, x.T @ (error[:, None] * s) - v * xe[:, None] + decay * v]
-            for i, step in enumerate(steps):
-                moments[i] = 0.99 * moments[i] + 0.01 * step**2
-                steps[i] = rate * step / (np.sqrt(moments[i]) + 1e-6)
-            bias, linear, v = bias - float(steps[0]), linear - steps[1], v - steps[2]
-    return Machine(terms, bias, linear, v)
-
-
-def fit_all(terms: np.ndarray, ratio: np.ndarray, text: np.ndarray, term: np.ndarray, label: np.ndarray, factors: int = FACTORS,
-            epochs: int = EPOCHS, rate: float = 0.02, decay: float = 1e-4, batch: int = 512, seed: int = 1) -> Machine:
-    """The most telling terms fitted alone, then all of them by sparse steps from there, with the
-    weights of the pass that fits the rows held back best. ``text`` ascends."""
-    m, n, rng = len(terms), len(label), np.random.default_rng(seed)
-    first = np.argsort(-ratio, kind="stable")[:TERMS]
-    first = first[ratio[first] >= LEAST_RATIO]
-    place = np.full(m, -1, np.int32)
-    place[first] = np.arange(len(first))
-    told = place[term] >= 0
-    told_text, told_term = text[told], place[term[told]]
-    back = np.arange(n) % 10 == 9
-    if not m or not back.any():
-        return fit(terms[first], told_text, told_term, label, factors, seed=seed)
-    of_fit = ~back[told_text]
-    start = fit(terms[first], (np.cumsum(~back) - 1)[told_text[of_fit]], told_term[of_fit], label[~back], factors, seed=seed)
-    bias, w = start.bias, np.zeros((m, factors + 1))
-    w[:, 1:] = rng.normal(0, 0.01, (m, factors))
-    w[first] = np.column_stack([start.linear, start.factors])
-    starts = np.searchsorted(text, np.arange(n + 1))
-    rate *= min(1.0, ROW_TERMS * n / max(len(term), 1))
-    moments, touched, bias_moment, steps = np.zeros(w.shape, np.float32), np.zeros(m, np.float32), 0.0, 0
-
-    def held(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = starts[rows + 1] - starts[rows]
-        before = np.cumsum(size) - size
-        return np.repeat(np.arange(len(rows)), size), term[np.arange(size.sum()) + np.repeat(starts[rows] - before, size)]
-
-    def sums(row: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        s = np.stack([np.bincount(row, f[at], k) for f in weights])
-        return s, bias + s[0] + 0.5 * ((s[1:] ** 2).sum(0) - np.bincount(row, (weights[1:] ** 2).sum(0)[at], k))
-
-    def loss(weights: np.ndarray) -> float:
-        total, rows = 0.0, np.flatnonzero(back)
-        for at in range(0, len(rows), batch):
-            some = rows[at:at + batch]
-            z = sums(*held(some), weights, len(some))[1]
-            total += np.logaddexp(0, np.where(label[some] > 0, -z, z)).sum()
-        return total
-
-    alone = np.zeros_like(w)
-    alone[first] = w[first]
-    least, best, since = loss(alone.T), None, 0
-    del alone
-    for _ in range(epochs):
-        shuffled = rng.permutation(np.flatnonzero(~back))
-        for at in range(0, len(shuffled), batch):
-            rows = shuffled[at:at + batch]
-            row, of = held(rows)
-            seen = np.zeros(m, bool)
-            seen[of] = True
-            used = np.flatnonzero(seen)
-            place[used] = np.arange(len(used))
-            of = place[of]
-            weights = np.ascontiguousarray(w[used].T)
-            s, z = sums(row, of, weights, len(rows))
-            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
-            step = np.stack([np.bincount(of, (error * f)[row], len(used)) for f in (np.ones(len(rows)), *s[1:])])
-            step[1:] -= weights[1:] * step[0]
-            step = (step + decay * weights).T
-            touched[used] += 1
-            steps += 1
-            moments[used] = 0.99 * moments[used] + 0.01 * step**2
-            w[used] -= rate * step / (np.sqrt(moments[used] / (1 - 0.99 ** touched[used])[:, None]) + 1e-6)
-            bias_moment = 0.99 * bias_moment + 0.01 * error.sum() ** 2
-            bias -= rate * float(error.sum()) / (np.sqrt(bias_moment / (1 - 0.99**steps)) + 1e-6)
-        now, since = loss(w.T), since + 1
-        if now < least:
-            least, best, since = now, Machine(terms, bias, w[:, 0].copy(), w[:, 1:].copy()), 0
-        if since >= PATIENCE:
-            break
-    return best or fit(terms[first], told_text, told_term, label, factors, seed=seed)
+    bias, chance = float(np.log(share / (1 - share))), share * (1 - share)
+    w = np.zeros((m, factors + 1), np.float32)
+    w[:, 1:] = np.random.default_rng(seed).normal(0, 0.02, (m, factors))
+    if not n or not m:
+        return Machine(terms, bias, np.zeros(m), np.zeros((m, factors)))
+    count = np.bincount(term, minlength=m).astype(np.float32)
+    moments, of_bias, seen, active = Moments(m, factors), Moments(1, 0), Occurrences(text, term, n, m), np.arange(m)
+    for turn in range(FIRST_STEPS + epochs + LAST_STEPS):
+        if turn in (FIRST_STEPS, FIRST_STEPS + epochs):
+            on = (w != 0).any(1)
+            place = np.cumsum(on) - 1
+            still = on[term]
+            text, term, active = text[still], place[term[still]], active[on]
+            w, count = w[on], count[on]
+            moments.keep(on)
+            seen = Occurrences(text, term, n, len(active))
+        penalty = LAST_PENALTY if turn >= FIRST_STEPS + epochs else 1.0
+        s = seen.by_text(np.column_stack([w, (w[:, 1:] ** 2).sum(1)]))
+        z = bias + s[:, 0] + 0.5 * ((s[:, 1:-1] ** 2).sum(1) - s[:, -1])
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
+        met = (s[:, 1:-1] ** 2).sum(1)
+        sums = seen.by_term(np.column_stack([error, error[:, None] * s[:, 1:-1], met]).astype(np.float32))
+        gradient = sums[:, :-1] / n
+        gradient[:, 1:] -= w[:, 1:] * gradient[:, :1]
+        direction, size = moments.step(gradient)
+        linear_size, factor_size = rate * size[:, 0], rate / RATE * FACTOR_RATE * size[:, 1]
+        w[:, 0] -= linear_size * direction[:, 0]
+        w[:, 0] = np.sign(w[:, 0]) * np.maximum(np.abs(w[:, 0]) - linear_size * penalty * LINEAR_BEYOND * np.sqrt(count * chance) / n, 0)
+        w[:, 1:] -= factor_size[:, None] * direction[:, 1:]
+        length = np.sqrt((w[:, 1:] ** 2).sum(1))
+        pull = factor_size * penalty * FACTORS_BEYOND * np.sqrt(sums[:, -1] * chance) / n
+        w[:, 1:] *= np.maximum(1 - pull / np.maximum(length, 1e-12), 0)[:, None]
+        direction, size = of_bias.step(np.array([[error.mean()]]))
+        bias -= rate / RATE * FACTOR_RATE * float(direction[0, 0] * size[0, 0])
+    whole = np.zeros((m, factors + 1))
+    whole[active] = w
+    return Machine(terms, bias, whole[:, 0], whole[:, 1:])
 
 
 def _places(terms: np.ndarray) -> np.ndarray:
@@ -221,51 +176,69 @@ def _kept_terms(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, m: in
     return pairs // max(m, 1), pairs % max(m, 1)
 
 
-def _features(terms: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _places(terms)
-        for batch in batches:
-            for first, last, data, offsets in chunks(batch.column(0)):
-                text, term = _kept_terms(data, offsets, places, len(terms))
-                bounds = np.searchsorted(text, np.arange(last - first + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(first, last - first),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))], names=["label", "terms"])
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct buckets of each text."""
+    for batch in batches:
+        for first, last, data, offsets in chunks(batch.column(0)):
+            text, term = term_rows(data, offsets)
+            pairs = np.unique(text * BUCKETS + term)
+            bounds = np.searchsorted(pairs // BUCKETS, np.arange(last - first + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).slice(first, last - first),
+                 pa.ListArray.from_arrays(pa.array(bounds), pa.array((pairs % BUCKETS).astype(np.int32)))], names=["label", "terms"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
-    """A machine from the labelled rows that are not held out, at most ``most`` of them, taken
-    by hash of the id. Without labelled rows it scores every text by the prior."""
+def _sample(docs: DataFrame, labels: DataFrame, most: int, most_chars: int) -> DataFrame:
+    """``(text, label)`` of at most ``most`` different labelled rows and, after the first, at most
+    ``most_chars`` characters of text, taken by hash of the id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    sample = known.groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("label")).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counts = rows.mapInArrow(_counter, "range bigint, clean binary, toxic binary")
-    found = counts.groupBy("range").applyInArrow(_counted((n.get(0, 0), n.get(1, 0))), "term bigint, ratio double")
-    found = found.toArrow().sort_by("term")
-    terms, ratio = found["term"].to_numpy(), found["ratio"].to_numpy()
-    held = rows.mapInArrow(_features(terms), "label bigint, terms array<int>").toArrow()
+    order = F.xxhash64("doc_id")
+    sample = known.groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("label")).orderBy(order, "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("place", order).withColumn(
+        "mark", F.xxhash64("text"))
+    sizes = rows.select("place", "mark", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).distinct().orderBy("place", "mark").limit(most)
+    held, chosen = 0, []
+    for row in sizes.collect():
+        if held and held + row["chars"] > most_chars:
+            break
+        held += row["chars"]
+        chosen.append((row["place"], row["mark"]))
+    kept = docs.sparkSession.createDataFrame(chosen, "place bigint, mark bigint")
+    return rows.join(F.broadcast(kept), ["place", "mark"]).dropDuplicates(["place", "mark"]).select("text", "label")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_chars: int = TRAIN_CHARS) -> Machine:
+    """A machine from the labelled rows that are not held out, within the bounds of the sample.
+    Without labelled rows it scores every text by the prior."""
+    bounded_batches(docs.sparkSession)
+    held = _sample(docs, labels, most, most_chars).mapInArrow(_features, "label bigint, terms array<int>").toArrow()
     label = held["label"].to_numpy()
     sizes = np.concatenate([c.value_lengths().to_numpy() for c in held["terms"].chunks] or [np.empty(0, int)])
     term = np.concatenate([c.flatten().to_numpy() for c in held["terms"].chunks] or [np.empty(0, np.int32)])
     del held
-    return fit_all(terms, ratio, np.repeat(np.arange(len(label), dtype=np.int32), sizes), term, label)
+    terms = np.flatnonzero(np.bincount(term, minlength=BUCKETS) >= LEAST_ROWS)
+    term = _places(terms)[term]
+    text = np.repeat(np.arange(len(label), dtype=np.int32), sizes)
+    text, term = text[term >= 0], term[term >= 0]
+    return fit(terms, text, term, label).without_zeros()
+
+
+def _text_scores(machine: Machine, places: np.ndarray, texts: pa.Array) -> pa.Array:
+    score = np.empty(len(texts))
+    for first, last, data, offsets in chunks(texts):
+        text, term = _kept_terms(data, offsets, places, len(machine.terms))
+        score[first:last] = machine.scores(text, term, last - first)
+    return pa.array(score)
 
 
 def _scorer(machine: Machine):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places = _places(machine.terms)
-        for batch in batches:
-            score = np.empty(batch.num_rows)
-            for first, last, data, offsets in chunks(batch.column(batch.num_columns - 1)):
-                text, term = _kept_terms(data, offsets, places, len(machine.terms))
-                score[first:last] = machine.scores(text, term, last - first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
+        for texts in batches:
+            yield _text_scores(machine, places, texts)
 
-    return run
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -275,18 +248,16 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     terms, get the prior. A null doc_id is not held out. Repeated rows are scored alike. An
     empty table gives no rows. Other columns are ignored.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(machine), f"doc_id {id_type}, score double")
+    scored = docs.select("doc_id", _scorer(machine)("text").alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of ``docs`` below the threshold, with all columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    scored = packed.mapInArrow(_scorer(machine), f"row {packed.schema['row'].dataType.simpleString()}, score double")
-    return scored.where(F.col("score") < THRESHOLD).select("row.*")
+    """The rows of ``docs`` below the threshold, with all columns. Only the text goes through
+    Python. Null and empty texts have the score of the prior; of repeated rows all stay or all go; an
+    empty table gives no rows."""
+    return docs.where(_scorer(machine)("text") < THRESHOLD)
 
 
 runs_on_workers(__name__)

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from llm.common import runs_on_workers
 
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 400_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 2**64 - 1
 
