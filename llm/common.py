@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinshelf.session import materialise, runs_on_workers
 
-__all__ = ["bounded_batches", "bucket", "documents", "held_out", "materialise", "runs_on_workers", "table", "text_or_empty",
+__all__ = ["bounded_batches", "bucket", "documents", "held_out", "lean", "materialise", "runs_on_workers", "table", "text_or_empty",
            "word_count", "worker_cache"]
 
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
@@ -55,8 +58,33 @@ def bucket(key: Column, n: int, salt: int = 0) -> Column:
 
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, so that its tasks share it."""
-    holder = sys.modules.setdefault("_kinshelf_worker_cache", types.ModuleType("_kinshelf_worker_cache"))
-    return holder.__dict__.setdefault(name, {})
+    return _caches().setdefault(name, {})
+
+
+def _caches() -> dict:
+    return sys.modules.setdefault("_kinshelf_worker_cache", types.ModuleType("_kinshelf_worker_cache")).__dict__
+
+
+def lean(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """A map for Python workers that operators use in turn: it drops what others left in the caches of
+    the worker, all but the cache ``keep``, and gives freed memory back to the system at its end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for name, cache in _caches().items():
+            if name != keep and isinstance(cache, dict) and not name.startswith("__"):
+                cache.clear()
+        _give_back()
+        yield from run(batches)
+        _give_back()
+
+    return wrapped
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
 
 
 runs_on_workers(__name__)

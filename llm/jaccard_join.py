@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinshelf.session import small
-from llm.common import materialise, runs_on_workers, text_or_empty
+from llm.common import lean, materialise, runs_on_workers, text_or_empty
 from llm.components import components
 from llm.shingles import ROW_BITS, ROWS, SIZE, shingle_sets
 from llm.words import chunks
@@ -155,7 +155,7 @@ def set_classes(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> tuple[
     bits = max(0, int(np.ceil(np.log2(max(1.0, chars / CHARS_PER_ID / IDS_PER_RANGE)))))
     key_type = docs.schema["key"].dataType.simpleString()
     schema = f"key {key_type}, n bigint, digest binary, block bigint, pos bigint, range bigint, ids binary, counts binary"
-    made = materialise(docs.mapInArrow(_blocks(bits, size), schema), "shingle_blocks")
+    made = materialise(docs.mapInArrow(lean(_blocks(bits, size)), schema), "shingle_blocks")
     rows = made.where("pos is not null").select("key", "n", "digest", "block", "pos")
     shared = made.where("range is not null").select("range", "block", "ids", "counts").groupBy("range").applyInArrow(
         _shared, "block bigint, shared binary")
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, size: int = SIZE) -> Da
     rows, live = set_classes(docs, share, size)
     kept = live.select(F.col("rep").alias("key"))
     lists = docs.join(small(kept), "key", "left_semi").select("text").mapInArrow(
-        _id_lists(size), "cls binary, n bigint, ids array<bigint>")
+        lean(_id_lists(size)), "cls binary, n bigint, ids array<bigint>")
     sets = materialise(lists.join(small(live.select("cls")), "cls", "left_semi"), "sets")
     labels = components(materialise(class_links(sets, share), "class_links"))
     reps = rows.where("digest is not null").groupBy("digest").agg(F.min("key.doc_id").alias("rep"), F.count("*").alias("k"))

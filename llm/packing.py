@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from llm.common import bounded_batches, bucket, materialise, runs_on_workers, text_or_empty
+from llm.common import bounded_batches, bucket, lean, materialise, runs_on_workers, text_or_empty
 from llm.cutting_stock import solve
 from llm.tokens import encoder
 
@@ -82,7 +82,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, separator: int = 0, sequence:
     """``(doc_id, start, length, ids, doc_tokens)``: ``ids`` are little-endian unsigned 32-bit."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(_cutter(tokenizer, separator, sequence, grid),
+    return rows.mapInArrow(lean(_cutter(tokenizer, separator, sequence, grid), keep="encoders"),
                            PIECE.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 

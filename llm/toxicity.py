@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.common import bounded_batches, held_out, runs_on_workers
+from llm.common import bounded_batches, held_out, lean, runs_on_workers
 from llm.words import Hashes, byte_class, byte_values, chunks, word_bounds
 
 TRAIN_ROWS = 6_000  # bounds of the labelled sample
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_chars
     """A machine from the labelled rows that are not held out, within the bounds of the sample.
     Without labelled rows it scores every text by the prior."""
     bounded_batches(docs.sparkSession)
-    held = _sample(docs, labels, most, most_chars).mapInArrow(_features, "label bigint, terms array<int>").toArrow()
+    held = _sample(docs, labels, most, most_chars).mapInArrow(lean(_features), "label bigint, terms array<int>").toArrow()
     label = held["label"].to_numpy()
     sizes = np.concatenate([c.value_lengths().to_numpy() for c in held["terms"].chunks] or [np.empty(0, int)])
     term = np.concatenate([c.flatten().to_numpy() for c in held["terms"].chunks] or [np.empty(0, np.int32)])
@@ -237,8 +237,9 @@ def _scorer(machine: Machine):
         for texts in batches:
             yield _text_scores(machine, places, texts)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double")
+    scored = lean(run)
+    scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(scored, "double")
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
