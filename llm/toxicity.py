@@ -203,7 +203,8 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int, most_chars: int) -> D
             break
         held += row["chars"]
         chosen.append((row["place"], row["mark"]))
-    kept = docs.sparkSession.createDataFrame(chosen, "place bigint, mark bigint")
+    kept = docs.sparkSession.createDataFrame(pa.table({  # a table in Arrow form needs no Python workers to be read
+        name: pa.array([key[at] for key in chosen], pa.int64()) for at, name in enumerate(("place", "mark"))}))
     return rows.join(F.broadcast(kept), ["place", "mark"]).dropDuplicates(["place", "mark"]).select("text", "label")
 
 
