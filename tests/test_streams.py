@@ -2,12 +2,14 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from check_queries import compare, connect
 from conftest import SMALL
+from kinshelf.plans.registry import QUERIES
 from kinshelf.schemas import REQUESTS
 from kinshelf.session import folders
 from kinshelf.sources import request_log
@@ -67,3 +69,12 @@ def test_expiry_deletes_whole_days(spark, tmp_path):
     assert request_log.expire_requests(spark, path, "2024-03-03") == ["date=2024-03-01", "date=2024-03-02"]
     assert request_log.read_requests(spark, path).agg(F.count("*")).first()[0] == 3
     assert request_log.expire_requests(spark, str(tmp_path / "none"), "2024-03-03") == []
+
+
+def test_ranks_of_percentiles_do_not_broadcast_or_repeat_requests(spark):
+    plan = QUERIES["str_perf_sliding"](spark, SMALL)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(re.match(r"[\s:+|*()\d-]*", line)[0]) for line in plan]
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line or "Generate explode" in line:
+            below = [plan[j] for j in range(i + 1, len(plan)) if all(d > depth[i] for d in depth[i + 1:j + 1])]
+            assert not any("events.parquet" in b for b in below)
