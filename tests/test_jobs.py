@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_books
-from kinshelf.operators import admission, containment, lookup, ranking, scoring, search
+from kinshelf.operators import admission, containment, lookup, ranking, scoring, search, tfidf
 from kinshelf.operators.percentiles import exact_percentiles
 from kinshelf.params import ModelParams
 from kinshelf.plans import recommend as jobs
@@ -79,6 +79,17 @@ def test_vectors_have_unit_length_and_known_weights(five):
     assert "story storms" in vocab  # the bigram bridges a removed stop word
 
 
+def test_documents_are_counted_where_they_lie(spark, five):
+    documents = tfidf.document_terms(five.catalogue, FIVE)
+    for counted in (tfidf.term_counts(documents), tfidf.norms(documents, five.vocab, FIVE.max_features), tfidf.vectors(documents, five.vocab, FIVE.max_features)):
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["a"])], "id bigint, terms array<string>")
+    assert {tuple(r) for r in tfidf.term_counts(odd).collect()} == {(1, "a", 1), (1, "b", 2), (4, "a", 1)}
+    vocab = spark.createDataFrame([(0, "b", 1, 2, 2.0), (1, "c", 1, 1, 1.0)], "idx int, term string, df bigint, ctf bigint, idf double")
+    for most in (10, 2_000_000):
+        assert [tuple(r) for r in tfidf.norms(odd, vocab, most).collect()] == [(1, 1, 4.0)]
+
+
 def test_empty_vocabulary_is_an_error(shelf):
     with pytest.raises(ValueError):
         build_model(shelf, ModelParams(min_df=50))
