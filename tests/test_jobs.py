@@ -258,3 +258,13 @@ def test_snapshot_round_trip_and_expiry(spark, shelf, tmp_path):
     assert snapshots.read_manifest(spark, root).count() == 2
     assert snapshots.inventory(spark, root).first().total_files > 0
     assert not os.path.exists(old) and snapshots.load(spark, root, key, FIVE).catalogue.count() == 5
+
+
+@pytest.mark.parametrize("group, per_pass", [(100, 2), (2, 100), (3, 2)])
+def test_groups_of_sources_score_in_passes(spark, five, monkeypatch, group, per_pass):
+    sources = five.catalogue.select(F.col("id").alias("source_id"))
+    monkeypatch.setattr(scoring, "SOURCES_PER_GROUP", group)
+    monkeypatch.setattr(scoring, "SOURCES_PER_PASS", per_pass)
+    got = {(r.source_id, r.id): r.score for r in scoring.scores(sources, five.vectors, "production").collect()}
+    expected = {k: v for k, v in cosines(five).items() if v > 0}
+    assert got.keys() == expected.keys() and all(abs(got[k] - v) < 2e-6 for k, v in expected.items())
