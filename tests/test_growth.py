@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from kinshelf.operators import containment, duplicates
+from kinshelf.operators import containment, duplicates, scoring
 
 
 @pytest.mark.parametrize("few", [50_000, 0])
@@ -25,3 +26,16 @@ def test_same_works_are_found_without_passes_over_the_catalogue(spark, monkeypat
     monkeypatch.setattr(containment, "pass_count", None)
     works = duplicates.works_in(spark.createDataFrame([("a", "red sea"), ("a", "the red sea again"), ("b", "red sea")], "author_key string, title_key string"))
     assert duplicates.same_works(works, works, profile).count() == 5
+
+
+def test_vectors_are_shuffled_once_whatever_the_number_of_groups_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SOURCES_PER_PASS", 15)
+    monkeypatch.setattr(scoring, "BOOKS_PER_BLOCK", 9)
+    rows = [(i, [(i % 7, 0.6), (7 + i % 5, 0.8)], 7 + i % 5, f"t{i}", "a") for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id bigint, vec array<struct<idx:int,w:double>>, head int, title_key string, author_key string")
+    scored = scoring.scores(vectors.select(F.col("id").alias("source_id")), vectors, "production", floor=0.5)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan and "FlatMapCoGroupsInArrow" not in plan
+    weight = {i: dict(v) for i, v, *_ in rows}
+    expected = {(i, j): round(sum(w * weight[j].get(t, 0) for t, w in weight[i].items()), 6) for i in weight for j in weight if i != j}
+    assert {(r.source_id, r.id): r.score for r in scored.collect()} == {k: v for k, v in expected.items() if v >= 0.5}
