@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from kinshelf.operators import containment, duplicates, scoring
+from kinshelf.plans.registry import QUERIES
 
 
 @pytest.mark.parametrize("few", [50_000, 0])
@@ -39,3 +41,11 @@ def test_vectors_are_shuffled_once_whatever_the_number_of_groups_and_blocks(spar
     weight = {i: dict(v) for i, v, *_ in rows}
     expected = {(i, j): round(sum(w * weight[j].get(t, 0) for t, w in weight[i].items()), 6) for i in weight for j in weight if i != j}
     assert {(r.source_id, r.id): r.score for r in scored.collect()} == {k: v for k, v in expected.items() if v >= 0.5}
+
+
+def test_word_overlap_compares_titles_and_not_their_copies(spark, monkeypatch):
+    seen, whole = [], duplicates.overlapping
+    monkeypatch.setattr(duplicates, "overlapping", lambda a, b: seen.append(a) or whole(a, b))
+    rows = QUERIES["set_word_overlap"](spark, SMALL)
+    assert seen[0].select("author_key", "words").distinct().count() == seen[0].count() and rows.count() > 0
+    assert rows.select("id", "other_id").distinct().count() == rows.count() and rows.where("id >= other_id").isEmpty()
