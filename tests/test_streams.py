@@ -3,12 +3,15 @@
 import datetime as dt
 import random
 import re
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from check_queries import compare, connect
 from conftest import SMALL
+from kinshelf.plans import registry
 from kinshelf.plans.registry import QUERIES
 from kinshelf.schemas import REQUESTS
 from kinshelf.session import folders
@@ -63,6 +66,63 @@ def test_out_of_order_files_give_the_answer_of_the_batch_and_idle_clients_go(spa
     assert spark.streams.active == []
 
 
+class Store:
+    """The states and timers of one key; every call counts."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value, self.timers = 0, [], None, set()
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"getListState": lambda *_: self, "getValueState": lambda *_: Value(self), "appendValue": self.rows.append,
+                "appendList": self.rows.extend, "put": lambda rows: self.rows.__setitem__(slice(None), rows), "get": lambda: iter(list(self.rows)),
+                "clear": self.rows.clear, "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name]
+
+
+class Value:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, value):
+        self.store.calls, self.store.value = self.store.calls + 1, value
+
+    def clear(self):
+        self.update(None)
+
+
+def test_calls_on_the_state_do_not_grow_with_rows_and_clients():
+    limiter_, store, rng = jobs._Limiter(3, 60_000_000), Store(), random.Random(5)
+    limiter_.init(store)
+    rows = [(rng.choice("abcdefgh"), rng.randrange(4_000) * 1_000_000, i) for i in range(3_000)]
+    got, early = {}, {}
+    for late in (False, True):
+        part = [r for r in rows if (r[1] > 2_000_000_000) != late]
+        list(limiter_.handleInputRows((0,), iter([pd.DataFrame(part, columns=["client", "us", "request_id"])]), None))
+    assert len(store.timers) == 1
+    for passed in (1_500_000, 3_000_000, 9_000_000):
+        due = min(store.timers)
+        store.timers.remove(due)
+        for out in limiter_.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda p=passed: p), None):
+            got |= dict(zip(out["request_id"].tolist(), out["admitted"].tolist(), strict=True))
+        early = early or dict(got)
+        assert due <= passed and len(store.timers) <= 1
+    assert set(early) == {i for _, us, i in rows if us < 1_500_000_000}
+    assert got == limiter([(c, i, us) for c, us, i in rows], 3, 60_000_000)
+    assert store.calls < 50 and not store.rows and store.value is None and not store.timers
+
+
+def test_four_days_of_several_files_arrive_at_once(spark, monkeypatch):
+    monkeypatch.setattr(registry, "ROWS_PER_FILE", 60)
+    triggers, whole = [], request_log.stream_requests
+    monkeypatch.setattr(request_log, "stream_requests", lambda s, path, n: triggers.append((n, len(s.read.parquet(path).inputFiles()))) or whole(s, path, n))
+    assert compare(spark, connect(SMALL), SMALL, "str_admission_ordered")[0].startswith("ok")
+    assert triggers[0][0] > 1 and triggers[0][1] == 8 * triggers[0][0]
+
+
 def test_expiry_deletes_whole_days(spark, tmp_path):
     path = str(tmp_path / "log")
     request_log.append_requests(requests(spark, [(i, i * 86_400, "a", "t") for i in range(5)]), path)
