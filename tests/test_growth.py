@@ -49,3 +49,24 @@ def test_word_overlap_compares_titles_and_not_their_copies(spark, monkeypatch):
     rows = QUERIES["set_word_overlap"](spark, SMALL)
     assert seen[0].select("author_key", "words").distinct().count() == seen[0].count() and rows.count() > 0
     assert rows.select("id", "other_id").distinct().count() == rows.count() and rows.where("id >= other_id").isEmpty()
+
+
+def test_numerators_are_summed_where_a_pair_is_met(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "ROWS_PER_PIECE", 9)
+    monkeypatch.setattr(scoring, "SOURCES_PER_PASS", 4)
+    monkeypatch.setattr(scoring, "BOOKS_PER_SLICE", 5)
+    rng = random.Random(7)
+    rows = [(i, [(t, rng.random()) for t in sorted(rng.sample(range(12), rng.randint(1, 4)))], 0, f"t{i}", rng.choice(["a", "a", "b", None])) for i in range(80)]
+    vectors = spark.createDataFrame([*rows, (99, [(3, 1.0)], 0, "t", "z")], "id bigint, vec array<struct<idx:int,w:double>>, head int, title_key string, author_key string")
+    asked = spark.createDataFrame([(i,) for i in [*range(0, 80, 2), 0, 99, 500]], "source_id bigint")
+    found = scoring.posting_products(asked, vectors)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not any("Aggregate" in line or "Generate inline" in line for line in plan)
+    got = {(r.source_id, r.id): (round(r.numerator, 9), r.terms) for r in found.collect()}
+    expected = {}
+    for i, a, _, _, x in rows[::2]:
+        for j, b, _, _, y in rows:
+            both = [w * dict(b)[t] for t, w in a if t in dict(b)]
+            if i != j and x is not None and x == y and both:
+                expected[i, j] = (round(sum(both), 9), len(both))
+    assert got == expected and found.count() == len(expected)
