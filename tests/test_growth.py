@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
-from kinshelf.operators import containment, duplicates, scoring
+from conftest import SMALL, make_books
+from kinshelf.functions import text
+from kinshelf.operators import containment, duplicates, scoring, tfidf
+from kinshelf.params import ModelParams
 from kinshelf.plans.registry import QUERIES
 
 
@@ -70,3 +72,15 @@ def test_numerators_are_summed_where_a_pair_is_met(spark, monkeypatch):
             if i != j and x is not None and x == y and both:
                 expected[i, j] = (round(sum(both), 9), len(both))
     assert got == expected and found.count() == len(expected)
+
+
+def test_terms_take_one_pass_over_the_text(spark):
+    rng = random.Random(9)
+    words = ["the", "Sea", "sea", "a", "x1yy", "caf\u00e9s", "lamp-post", "\t", "of\n\n", "\u0130stanbul", "\u212aelvin", "\U0001f600zz", "\u00a0", "__", "\U0001d41aab"]
+    books = make_books(spark, [(i, "".join(rng.choices([*words, " "], k=rng.randint(0, 30))), "Mid", "Ann|Bo", None) for i in range(60)])
+    documents = tfidf.document_terms(books, ModelParams(stop_words=("the", "of")))
+    letters = books.select("id", text.letters_only(F.col("title"), F.col("description"), F.col("authors"), F.col("categories")).alias("letters"))
+    plain = letters.select("id", text.terms(text.content_words(F.col("letters"), ["the", "of"])).alias("terms"))
+    assert sorted(map(tuple, documents.collect())) == sorted(map(tuple, plain.collect()))
+    passes = documents._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    assert passes == 1
