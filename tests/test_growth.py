@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,37 @@ def test_vectors_are_shuffled_once_whatever_the_number_of_groups_and_blocks(spar
     assert {(r.source_id, r.id): r.score for r in scored.collect()} == {k: v for k, v in expected.items() if v >= 0.5}
 
 
+@pytest.mark.parametrize("keep", [True, False])
+def test_rare_terms_cost_products_only_where_a_book_and_a_source_share_them(monkeypatch, keep):
+    rng, met = random.Random(5), []
+    vectors = [{t: rng.randint(1, 9) / 10 for t in [*rng.sample(range(4), 2), *rng.sample(range(4, 4_000), 40)]} for _ in range(400)]
+    as_vec = pa.array([[{"idx": t, "w": w} for t, w in sorted(v.items())] for v in vectors], pa.list_(pa.struct({"idx": pa.int32(), "w": pa.float64()})))
+    books = pa.table({"id": pa.array(range(400)), "vec": as_vec, "work": pa.nulls(400, pa.string())})
+    most = [(3, 50, 2_000)[i % 3] for i in range(200)]
+    sources = pa.table({"source_id": pa.array(range(200)), "vec": as_vec.slice(0, 200), "bar": pa.array([0.2] * 200),
+                        "most": pa.array(most), "home": pa.array([i == 9 for i in range(200)])})
+    monkeypatch.setattr(scoring, "SOURCES_PER_PASS", 150)
+    monkeypatch.setattr(scoring, "MET_AT_ONCE", 100)
+    products, meet = scoring._Asked.products, scoring._Asked._meet
+    monkeypatch.setattr(scoring._Asked, "_meet", lambda self, w, spot, *a: met.append(self.counts[spot].sum()) or meet(self, w, spot, *a))
+    monkeypatch.setattr(scoring._Asked, "products", lambda self, w, spot, row, n, live: met.append(n * self.heavy.size) or products(self, w, spot, row, n, live))
+    got = scoring._kernel(keep)(sources, books).to_pylist()
+    dense = np.zeros((400, 4_000))
+    for i, v in enumerate(vectors):
+        dense[i, list(v)] = list(v.values())
+    exact = np.round(dense[:200] @ dense.T, 6)
+    expected = {(s, b): exact[s, b] for s in range(200) for b in range(400) if s not in (b, 9) and exact[s, b] >= 0.2}
+    found = {(r["source_id"], r["id"]): r["score"] for r in got}
+    assert len(found) == len(got) and all(expected[k] == pytest.approx(x, abs=1e-9) for k, x in found.items())
+    if keep:
+        for s, n in enumerate(most):
+            rows = sorted((x for (a, _), x in expected.items() if a == s), reverse=True)
+            assert sorted((x for (a, _), x in found.items() if a == s), reverse=True)[:n] == pytest.approx(rows[:n], abs=1e-9)
+    else:
+        assert set(found) == set(expected)
+    assert sum(met) < 400 * 200 * 42 / 5  # of one product for each term of a book and each source
+
+
 def test_word_overlap_compares_titles_and_not_their_copies(spark, monkeypatch):
     seen, whole = [], duplicates.overlapping
     monkeypatch.setattr(duplicates, "overlapping", lambda a, b: seen.append(a) or whole(a, b))
