@@ -78,6 +78,20 @@ def test_rare_terms_cost_products_only_where_a_book_and_a_source_share_them(monk
     assert sum(met) < 400 * 200 * 42 / 5  # of one product for each term of a book and each source
 
 
+def test_the_best_scores_shuffle_vectors_once_too(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SOURCES_PER_GROUP", 15)
+    monkeypatch.setattr(scoring, "BOOKS_PER_BLOCK", 9)
+    rows = [(i, [(i % 7, 0.6), (7 + i % 5, 0.8 - i / 1000)], 7 + i % 5, f"t{i}", "a") for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id bigint, vec array<struct<idx:int,w:double>>, head int, title_key string, author_key string")
+    scored = scoring.scores(vectors.select(F.col("id").alias("source_id")), vectors, "production", floor=0.1, keep=4)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan and "FlatMapCoGroupsInArrow" not in plan
+    weight = {i: dict(v) for i, v, *_ in rows}
+    every = {i: [(-round(sum(w * weight[j].get(t, 0) for t, w in weight[i].items()), 6), j) for j in weight if i != j] for i in weight}
+    expected = [(i, j, -s) for i, found in every.items() for s, j in sorted(found)[:4] if s <= -0.1]
+    assert sorted((r.source_id, r.id, r.score) for r in scoring.top(scored, 4).collect()) == sorted(expected)
+
+
 def test_word_overlap_compares_titles_and_not_their_copies(spark, monkeypatch):
     seen, whole = [], duplicates.overlapping
     monkeypatch.setattr(duplicates, "overlapping", lambda a, b: seen.append(a) or whole(a, b))
