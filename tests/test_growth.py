@@ -131,3 +131,24 @@ def test_terms_take_one_pass_over_the_text(spark):
     assert sorted(map(tuple, documents.collect())) == sorted(map(tuple, plain.collect()))
     passes = documents._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
     assert passes == 1
+
+
+@pytest.mark.parametrize("keep", [None, 4])
+def test_duplicates_are_left_out_where_they_would_be_scored(spark, monkeypatch, keep):
+    monkeypatch.setattr(scoring, "SOURCES_PER_PASS", 11)
+    monkeypatch.setattr(scoring, "BOOKS_PER_BLOCK", 9)
+    monkeypatch.setattr(scoring, "BOOKS_PER_SLICE", 4)
+    monkeypatch.setattr(scoring, "BLOCKED_PER_GROUP", 50)
+    title = {i: f"tale {i % 10}" + " more" * (i % 3) for i in range(60)}
+    rows = [(i, [(i % 7, 0.6), (7 + i % 5, 0.8 - i / 1000)], 7 + i % 5, title[i], "ab"[i % 2]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id bigint, vec array<struct<idx:int,w:double>>, head int, title_key string, author_key string")
+    own = vectors.select(F.col("id").alias("source_id"), "author_key", "title_key")
+    scored = scoring.scores(own.select("source_id"), vectors, "production", own, 0.1, keep=keep)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "work" not in scored.columns
+    weight = {i: dict(v) for i, v, *_ in rows}
+    same = {(i, j) for i in weight for j in weight if i % 2 == j % 2 and (title[i] in title[j] or title[j] in title[i])}
+    every = {i: [(-round(sum(w * weight[j].get(t, 0) for t, w in weight[i].items()), 6), j) for j in weight if (i, j) not in same] for i in weight}
+    expected = [(i, j, -s) for i, found in every.items() for s, j in sorted(found)[:keep] if s <= -0.1]
+    got = scored if keep is None else scoring.top(scored, keep)
+    assert len(same) > 200 and sorted((r.source_id, r.id, r.score) for r in got.collect()) == sorted(expected)
