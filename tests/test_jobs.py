@@ -268,3 +268,18 @@ def test_groups_of_sources_score_in_passes(spark, five, monkeypatch, group, per_
     got = {(r.source_id, r.id): r.score for r in scoring.scores(sources, five.vectors, "production").collect()}
     expected = {k: v for k, v in cosines(five).items() if v > 0}
     assert got.keys() == expected.keys() and all(abs(got[k] - v) < 2e-6 for k, v in expected.items())
+
+
+def test_most_sources_are_walked_by_the_heads_of_their_slices(spark, crowd, monkeypatch):
+    monkeypatch.setattr(ranking, "FOLD_DEPTH", 24)
+    monkeypatch.setattr(ranking, "LOOK_AHEAD", 1)
+    rows, model = crowd
+    books, folded, whole = jobs.book_keys(model.catalogue), [], ranking.fold
+    monkeypatch.setattr(ranking, "fold", lambda candidates, formed, room: folded.append((candidates, formed)) or whole(candidates, formed, room))
+    picked = [3, 9, 18, 27, 31, 44, 60]
+    accepted = ranking.greedy(spark.createDataFrame([(i,) for i in picked], "source_id bigint"), model.vectors, books, 6).collect()
+    cos, form = cosines(model), forms(rows)
+    for s in picked:
+        got = [r.id for r in sorted((r for r in accepted if r.source_id == s), key=lambda r: (-r.score, r.id))]
+        assert got == [i for i in walk(s, cos, form, 6) if cos[s, i] > 0]
+    assert "form" in folded[0][1].columns and folded[0][0].groupBy("source_id").count().agg({"count": "max"}).first()[0] == 6
