@@ -62,3 +62,16 @@ def test_search_with_and_without_the_index(spark, shelf, tmp_path):
                                   "request_id int, term string, hits bigint")
     plain = sorted(map(tuple, search.search_hits(asked, shelf).collect()))
     assert plain == sorted(map(tuple, search.search_hits(asked, shelf, index).collect())) and len(plain) > 6
+
+
+def test_the_plan_of_a_lookup_holds_no_plan_of_its_stages(spark, tmp_path):
+    shelf = spark.createDataFrame([(i, f"The {'red blue sea lamp'.split()[i % 4]} book {i}", f"a{i}") for i in range(30)], "id bigint, title string, authors string")
+    titles = titles_index(shelf)
+    index = lookup.TitleIndex.build(shelf, f"{tmp_path}/index")
+    asked = [(1, "the red book 4", "The red book 4"), (2, "blue book 1", "blue"), (3, "zz", "LAMP BOOK 3"), (4, "no such", "no such"), (5, "yy", "lamp book 3")]
+    requests = spark.createDataFrame(asked, "request_id int, key string, scan_key string")
+    found = lookup.resolve(requests, titles, shelf, index)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0 and plan.count("Join") <= 3
+    got = {r.request_id: (r.source_id, r.stage) for r in found.collect()}
+    assert got == {1: (4, 1), 2: (1, 2), 5: (3, 3)}

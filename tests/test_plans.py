@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from check_queries import compare, connect
 from conftest import SMALL
 import __spark_entry__ as entry
+from kinshelf import session
 from kinshelf.operators import reports, scoring
 from kinshelf.plans.registry import QUERIES
 from kinshelf.sources import fixtures
@@ -82,3 +83,14 @@ def test_an_empty_window_reports_zeros(spark):
     requests = fixtures.view(spark, SMALL, "requests")
     row = reports.performance(requests, F.lit("2030-01-01").cast("timestamp"), 60).first().asDict()
     assert row.pop("window_minutes") == 60 and set(row.values()) == {0}
+
+
+def test_a_broadcast_is_bounded_in_rows_and_in_bytes(spark, monkeypatch):
+    rows = spark.range(50).select("id", F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"))
+
+    def marked(df):
+        return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+
+    assert marked(session.small(rows)) and not marked(session.small(rows, 49))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1_000)  # 50 ids have 400 bytes, with titles 1,190
+    assert marked(session.small(rows.select("id"))) and not marked(session.small(rows))
