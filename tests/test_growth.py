@@ -152,3 +152,19 @@ def test_duplicates_are_left_out_where_they_would_be_scored(spark, monkeypatch,
     expected = [(i, j, -s) for i, found in every.items() for s, j in sorted(found)[:keep] if s <= -0.1]
     got = scored if keep is None else scoring.top(scored, keep)
     assert len(same) > 200 and sorted((r.source_id, r.id, r.score) for r in got.collect()) == sorted(expected)
+
+
+def test_bars_and_home_blocks_shuffle_no_vectors_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SOURCES_PER_GROUP", 15)
+    monkeypatch.setattr(scoring, "BOOKS_PER_BLOCK", 9)
+    written, plans, store = [], {}, scoring.materialise
+    monkeypatch.setattr(scoring, "materialise", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or written.append(name) or store(df, name))
+    rows = [(i, [(i % 7, 0.6), (7 + i % 5, 0.8 - i / 1000)], 7 + i % 5, f"t{i}", "a") for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id bigint, vec array<struct<idx:int,w:double>>, head int, title_key string, author_key string")
+    among = vectors.where("id % 3 != 0 and head != 8")
+    scored = scoring.scores(vectors.select(F.col("id").alias("source_id")), vectors, "production", floor=0.1, among=among, keep=4)
+    assert "asked_at_home" not in written and plans["asked_pack"].count("RepartitionByExpression") == 2
+    weight = {i: dict(v) for i, v, *_ in rows}
+    every = {i: [(-round(sum(w * weight[j].get(t, 0) for t, w in weight[i].items()), 6), j) for j in weight if i != j and j % 3 and j % 5 != 1] for i in weight}
+    expected = [(i, j, -s) for i, found in every.items() for s, j in sorted(found)[:4] if s <= -0.1]
+    assert sorted((r.source_id, r.id, r.score) for r in scoring.top(scored, 4).collect()) == sorted(expected)
